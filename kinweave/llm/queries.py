@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, line_dedup, url_filter
+import corpus_pipeline
+
+from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality, url_filter
 from .shared import importable
 
 _MODULES = {
+    "op2_packing": packing,
+    "op3_ngram_join": ngram_join,
     "op4_chat_format": chat_format,
+    "op6_quality": quality,
+    "op8_decontaminate": decontaminate,
     "op9_line_dedup": line_dedup,
     "op10_url_filter": url_filter,
+    "pipeline": corpus_pipeline,
 }
 
 
