@@ -63,6 +63,11 @@ def dealt(df: DataFrame, key: str, row: str, blocks: Column) -> DataFrame:
     )
 
 
+def across(table: pa.Table) -> bool:
+    """Whether a task of :func:`dealt` compares two blocks: only rows of different blocks are pairs then, even if one block is empty."""
+    return table.column("bi")[0].as_py() != table.column("bj")[0].as_py()
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal ``keys``, over batch borders; the rows come sorted by the keys."""
     held: list[pa.Table] = []

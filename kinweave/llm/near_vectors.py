@@ -27,14 +27,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .links import components, dealt, in_groups, labelled
+from .links import across, components, dealt, in_groups, labelled
 from .shared import Scratch
 
 COSINE = 0.95
@@ -51,19 +50,33 @@ class Caps:
     least: float
 
 
-def plan_caps(dim: int, rows: int, parts: int = PARTS, filters: int = FILTERS, cap_rows: int = CAP_ROWS, seed: int = 17) -> Caps:
-    """Caps that hold a share ``cap_rows / rows`` of random vectors, and as many that each vector falls into ``filters``."""
+def cap_share(dim: int, angles: np.ndarray) -> np.ndarray:
+    """Share of the sphere within each angle of a direction."""
+    grid = np.linspace(0, math.pi, 100_001)
+    density = np.sin(grid) ** (dim - 2) if dim > 2 else np.ones_like(grid)
+    total = np.concatenate([[0], np.cumsum((density[1:] + density[:-1]) / 2)])
+    return np.interp(angles, grid, total / total[-1])
+
+
+def plan_caps(dim: int, rows: int, cosine: float = COSINE, parts: int = PARTS, filters: int = FILTERS, cap_rows: int = CAP_ROWS, seed: int = 17) -> Caps:
+    """Caps that hold a share ``cap_rows / rows`` of random vectors, and as many that each vector falls into ``filters``.
+
+    A cap is never smaller than what two vectors at the threshold need to share it.
+    """
+    if dim == 1:
+        return Caps(np.eye(1), [np.array([[1.0], [-1.0]])], 0.5)
     parts = max(1, min(parts, dim // 4))
-    share = min(0.05, max(cap_rows / max(rows, 1), 1e-9))
-    words = max(2, math.ceil((filters / share) ** (1 / parts)))
-    share = min(0.05, filters / words**parts)
+    angles = np.linspace(0, math.pi / 2, 20_001)
+    shares = cap_share(dim, angles)
+    angle = max(float(np.interp(max(cap_rows / max(rows, 1), 1e-12), shares, angles)), 1.5 * math.acos(cosine))
+    words = max(2, math.ceil((filters / float(cap_share(dim, np.array([angle]))[0])) ** (1 / parts)))
     rng = np.random.default_rng(seed)
     basis, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
     books = []
     for block in np.array_split(np.arange(dim), parts):
         book = rng.standard_normal((words, len(block)))
         books.append(book / np.linalg.norm(book, axis=1, keepdims=True) * math.sqrt(len(block) / dim))
-    return Caps(basis, books, -NormalDist().inv_cdf(share) / math.sqrt(dim))
+    return Caps(basis, books, math.cos(angle))
 
 
 def decode(caps: Caps, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +110,7 @@ def _linked(table: pa.Table, cosine: float) -> pa.RecordBatch | None:
     x = _directions(table)
     near = x @ x.T >= cosine
     np.fill_diagonal(near, False)
-    if own.min() != own.max():
+    if across(table):
         near &= own[:, None] != own[None, :]
     if not near.any():
         return None
@@ -123,7 +136,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, parts: int = PARTS,
     good = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = good.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     shapes = good.groupBy(F.size("embedding").alias("dim")).count().where("dim > 0").collect()
-    plans = {r["dim"]: plan_caps(r["dim"], r["count"], parts, filters, cap_rows) for r in shapes}
+    plans = {r["dim"]: plan_caps(r["dim"], r["count"], cosine, parts, filters, cap_rows) for r in shapes}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,10 +17,10 @@
 A pair at the threshold is missed only if no band agrees (``RECALL``).
 
 Defined cases: texts with fewer than five words but at least one have one gram,
-all their words; null texts and texts without words link with nothing and are
-a class of their own; null ids link with nothing; a repeated id is one document
-(of its rows any one that links counts); an empty table gives an empty table;
-other columns are not looked at.
+all their words; texts without words, null ones too, are copies of each other
+and link with no other text; null ids link with nothing; a repeated id is one document
+(of several texts that of the smallest key counts); an empty table gives an
+empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .links import components, dealt, in_groups, labelled
+from .links import across, components, dealt, in_groups, labelled
 from .shared import Scratch
 from .text import gram_hashes, mix, slices, words_of
 
@@ -74,8 +74,15 @@ def minima_of(grams: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 512)
     return low
 
 
+def sequence_keys(hashes: np.ndarray) -> np.ndarray:
+    """128 bits of a sequence of words, as two longs."""
+    place = np.arange(1, len(hashes) + 1, dtype=np.uint64)
+    one, two = np.sum(mix(hashes + place * np.uint64(0x9E3779B97F4A7C15))), np.sum(mix(hashes ^ mix(place)))
+    return np.array([one, two], np.uint64).view(np.int64)
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, n: int = N) -> DataFrame:
-    """``(doc_id, k1, k2, grams, bands, sig)`` of each text with words: 128 bits of its word sequence, number of grams, band hashes, a byte of each minimum."""
+    """``(doc_id, k1, k2, grams, bands, sig)`` of each text: 128 bits of its word sequence, number of grams, band hashes, a byte of each minimum."""
     a, b = _coefficients(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,18 +91,13 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N) -> DataFrame:
                 part = batch.slice(begin, end - begin)
                 words = words_of(part.column(1))
                 grams, at = gram_hashes(words, n)
-                have = np.flatnonzero(np.diff(at))
-                if not len(have):
-                    continue
-                low = np.empty((len(have), bands * rows), np.uint32)
-                keys = np.empty((2, len(have)), np.uint64)
-                for k, r in enumerate(have):
-                    low[k] = minima_of(grams[at[r] : at[r + 1]], a, b)
-                    w = words.hashes[words.at[r] : words.at[r + 1]]
-                    place = np.arange(1, len(w) + 1, dtype=np.uint64)
-                    keys[0, k] = np.sum(mix(w + place * np.uint64(0x9E3779B97F4A7C15)))
-                    keys[1, k] = np.sum(mix(w ^ mix(place)))
-                band = np.zeros((len(have), bands), np.uint64)
+                low = np.zeros((part.num_rows, bands * rows), np.uint32)
+                keys = np.empty((2, part.num_rows), np.int64)
+                for r in range(part.num_rows):
+                    if at[r + 1] > at[r]:
+                        low[r] = minima_of(grams[at[r] : at[r + 1]], a, b)
+                    keys[:, r] = sequence_keys(words.hashes[words.at[r] : words.at[r + 1]])
+                band = np.zeros((part.num_rows, bands), np.uint64)
                 for k in range(rows):
                     band = mix(band + low[:, k::rows].astype(np.uint64) + np.uint64(k + 1))
                 band = mix(band + np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
@@ -103,10 +105,10 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N) -> DataFrame:
                 sig = [row.tobytes() for row in (low & np.uint32(255)).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(pa.array(have)),
-                        pa.array(keys[0].view(np.int64)),
-                        pa.array(keys[1].view(np.int64)),
-                        pa.array(np.diff(at)[have].astype(np.int64)),
+                        part.column(0),
+                        pa.array(keys[0]),
+                        pa.array(keys[1]),
+                        pa.array(np.diff(at).astype(np.int64)),
                         lists,
                         pa.array(sig, pa.binary()),
                     ],
@@ -141,7 +143,7 @@ def _agreeing(table: pa.Table, least: int) -> pa.RecordBatch | None:
             c = sig[:, k]
             same += c[:, None] == c[None, :]
         near = same >= least
-        if own.min() != own.max():
+        if across(table):
             near &= own[:, None] != own[None, :]
         u, v = _forest(ids, near)
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -149,6 +151,8 @@ def _agreeing(table: pa.Table, least: int) -> pa.RecordBatch | None:
 
 def _verified(table: pa.Table, threshold: float) -> pa.RecordBatch | None:
     """Links of a block pair of a group by the full sets: for each row its links, and a forest edge."""
+    _, rows = np.unique(table.column("doc_id").to_numpy(), return_index=True)  # a row repeated in the input is one document
+    table = table.take(rows)
     n = len(table)
     if n < 2:
         return None
@@ -179,7 +183,7 @@ def _verified(table: pa.Table, threshold: float) -> pa.RecordBatch | None:
     near = shared_by >= threshold * union - 1e-9
     np.fill_diagonal(near, False)
     near &= ids[:, None] != ids[None, :]
-    if own.min() != own.max():
+    if across(table):
         near &= own[:, None] != own[None, :]
     links = near @ copies
     label = labelled(near)
@@ -188,19 +192,32 @@ def _verified(table: pa.Table, threshold: float) -> pa.RecordBatch | None:
 
 
 def _gram_sets(members: DataFrame, n: int) -> DataFrame:
-    """``members (doc_id, gid, copies, text)`` with the sorted distinct gram hashes of each."""
+    """``members (doc_id, gid, copies, k1, k2, text)`` with the sorted distinct gram hashes of each whose words have these keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end in slices(batch.column(3)):
+            for begin, end in slices(batch.column(5)):
                 part = batch.slice(begin, end - begin)
-                grams, at = gram_hashes(words_of(part.column(3)), n)
-                sets = [np.unique(grams[at[r] : at[r + 1]].view(np.int64)) for r in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "gid", "copies", "set"]
-                )
+                words = words_of(part.column(5))
+                grams, at = gram_hashes(words, n)
+                keys = np.column_stack([part.column(3).to_numpy(), part.column(4).to_numpy()])
+                rows = [r for r in range(part.num_rows) if np.array_equal(sequence_keys(words.hashes[words.at[r] : words.at[r + 1]]), keys[r])]
+                sets = [np.unique(grams[at[r] : at[r + 1]].view(np.int64)) for r in rows]
+                taken = [part.column(k).take(pa.array(rows, pa.int64())) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "gid", "copies", "set"])
+
+    return members.select("doc_id", "gid", "copies", "k1", "k2", "text").mapInArrow(run, "doc_id long, gid long, copies long, set binary")
 
-    return members.select("doc_id", "gid", "copies", "text").mapInArrow(run, "doc_id long, gid long, copies long, set binary")
+
+def _one_text_each(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of an id with several texts, one: that of the smallest keys."""
+    several = signed.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("k1").alias("low")).where("n > 1")
+    several = scratch.keep(several, "several")
+    if several.isEmpty():
+        return signed
+    several = several.select(F.col("doc_id").alias("id"), "low")
+    one = signed.join(several, F.col("doc_id") == F.col("id"), "left").where("id is null or k1 = low")
+    return scratch.keep(one.drop("id", "low").dropDuplicates(["doc_id"]), "signed")
 
 
 def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -214,13 +231,13 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     spark = docs.sparkSession
     bands, rows = choose_bands(threshold, recall)
     scratch = Scratch(spark, "ngram-join")
-    signed = scratch.keep(signatures(docs, bands, rows, n), "signed")
-    copies = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count_distinct("doc_id").alias("copies"))
+    signed = _one_text_each(scratch.keep(signatures(docs, bands, rows, n), "signed"), scratch)
+    copies = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"))
     copies = scratch.keep(copies, "copies")
     firsts = signed.join(copies.select("k1", "k2", F.col("copy_of").alias("doc_id"), "copies"), ["k1", "k2", "doc_id"])
-    firsts = scratch.keep(firsts.select("doc_id", "copies", "grams", "bands", "sig").dropDuplicates(["doc_id"]), "firsts")
+    firsts = scratch.keep(firsts.select("doc_id", "copies", "grams", "bands", "sig", "k1", "k2"), "firsts")
 
-    spread = firsts.select("doc_id", F.explode("bands").alias("bucket"))
+    spread = firsts.where("grams > 0").select("doc_id", F.explode("bands").alias("bucket"))
     buckets = spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     inside = spread.join(buckets, "bucket").join(firsts.select("doc_id", "sig"), "doc_id")
     inside = dealt(inside, "bucket", "doc_id", F.ceil(F.col("members") / BLOCK_ROWS))
@@ -229,10 +246,10 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     edges = in_groups(inside, ["bucket", "bi", "bj"], lambda t: _agreeing(t, least), "u long, v long")
     groups = components(edges, scratch)
 
-    groups = groups.join(firsts.select(F.col("doc_id").alias("node"), "copies", "grams"), "node")
-    groups = scratch.keep(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("gid"), "copies", "grams"), "groups")
+    groups = groups.join(firsts.select(F.col("doc_id").alias("node"), "copies", "grams", "k1", "k2"), "node")
+    groups = scratch.keep(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("gid"), "copies", "grams", "k1", "k2"), "groups")
     sizes = groups.groupBy("gid").agg(F.sum("grams").alias("all_grams"), F.count("*").alias("all_rows"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(groups.select("doc_id", "gid", "copies"), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(groups.select("doc_id", "gid", "copies", "k1", "k2"), "doc_id")
     members = _gram_sets(texts, n).join(sizes, "gid")
     blocks = F.greatest(F.ceil(F.col("all_grams") / BLOCK_GRAMS), F.ceil(F.col("all_rows") / BLOCK_ROWS))
     members = dealt(members, "gid", "doc_id", blocks).select("gid", "bi", "bj", "own", "doc_id", "copies", "set")
@@ -254,9 +271,7 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """One row a document id: ``(doc_id, class_id, copy_of, n_links)``; alone, a document is its own class."""
-    found = near_classes(docs.select("doc_id", "text")).groupBy("doc_id").agg(
-        F.min("class_id").alias("class_id"), F.min("copy_of").alias("copy_of"), F.max("n_links").alias("n_links")
-    )
+    found = near_classes(docs.select("doc_id", "text"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     return ids.join(found, "doc_id", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
@@ -265,7 +280,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class: the smallest id."""
-    near = near_classes(docs.select("doc_id", "text")).where("doc_id <> class_id").select(F.col("doc_id").alias("_kw_id")).distinct()
+    near = near_classes(docs.select("doc_id", "text")).where("doc_id <> class_id").select(F.col("doc_id").alias("_kw_id"))
     return docs.join(near, docs["doc_id"].cast("long") == F.col("_kw_id"), "left_anti")
 
 
@@ -279,9 +294,10 @@ g AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM t WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-e AS (SELECT x, y FROM i JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE c >= 0.8 * (nx.n + ny.n - c) - 1e-9),
+e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON len(a.w) = 0 AND len(b.w) = 0 AND a.doc_id <> b.doc_id
+  UNION ALL SELECT x, y FROM i JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE c >= 0.8 * (nx.n + ny.n - c) - 1e-9),
 r AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b),
-cp AS (SELECT doc_id, CASE WHEN len(w) > 0 THEN min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) ELSE doc_id END AS copy_of FROM t)
+cp AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS copy_of FROM t)
 SELECT t.doc_id, (SELECT min(b) FROM r WHERE r.a = t.doc_id) AS class_id, cp.copy_of,
   (SELECT count(*) FROM e WHERE e.x = t.doc_id)::BIGINT AS n_links
 FROM t JOIN cp ON cp.doc_id = t.doc_id
