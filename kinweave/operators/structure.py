@@ -49,6 +49,8 @@ def roots(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     while True:
         both = held.union(held.select(F.col("w").alias("u"), F.col("u").alias("w")))
         least = both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join with a hub's edges has shuffles on both sides and can be split.
+        least = scratch.keep(least, "least")
         large = both.where("w > u").join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("w")).distinct()
         least = large.groupBy("u").agg(F.min("w").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("w") == F.col("m"), F.col("u")).otherwise(F.col("w")).alias("u"), F.col("m").alias("w"))

@@ -12,7 +12,9 @@ from ..operators import closure as C
 from ..operators import compose, kinship, linalg, quality, structure, synth
 from ..operators.einsum import einsum
 from ..operators.graph import CycleError, cells_to_wide, violations, wide_to_cells
-from ..sources import fixtures
+from ..sources import files, fixtures
+from ..streaming.maintain import absorb
+from .scratch import Scratch
 from .views import closed_matrix, closure_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -812,6 +814,42 @@ def typed_key_chain(spark, d):
     return paths.join(with_orders, "i", "left").groupBy(F.col("j").alias("region")).agg(orders, customers)
 
 
+@query("undirected_hops", _CONV, "n AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e)", "t AS (SELECT i, j, 1::BIGINT AS d FROM n UNION SELECT t.i, n.j, t.d + 1 FROM t JOIN n ON t.j = n.i WHERE t.d < 8)", "SELECT i, j, min(d) AS d FROM t WHERE i <> j GROUP BY i, j")
+def undirected_hops(spark, d):
+    g = fixtures.conversation_graph(spark, d)
+    return C.weighted_paths(g.edges.withColumn("w", F.lit(1)), directed=False).select("i", "j", "d")
+
+
+@query("relationship_files", _PART, "SELECT i::VARCHAR AS child, j::VARCHAR AS parent, v FROM e WHERE i % 7 <> 5")
+def relationship_files(spark, d):
+    """The part graph written as relationship files and read again, with an ignore list."""
+    g = _part(spark, d)
+    at = Scratch(spark, "files").root
+    g.vertices.select("vertex_id", "color", F.concat(F.lit("Part, "), F.col("vertex_id")), F.lit(0)).write.csv(f"{at}/v")
+    g.edges.select("i", "j", F.when(F.col("v") == 2, "Bio").otherwise("Step")).write.csv(f"{at}/e")
+    g.edges.where("i % 7 = 5").select("i", "j").write.csv(f"{at}/ignore")
+    read, _ = files.read_relationships(spark, f"{at}/v", f"{at}/e", ["Bio", "Step"], 4, ignore=f"{at}/ignore")
+    name = lambda c, to: read.vertices.select(F.col("vertex_id").alias(c), F.col("external_id").alias(to))
+    return read.edges.join(name("i", "child"), "i").join(name("j", "parent"), "j").select("child", "parent", "v")
+
+
+@query("graph_cache", _PART, _MATRIX, "SELECT i, j, v FROM m")
+def graph_cache(spark, d):
+    """The part graph saved with its metadata and loaded from there."""
+    at, about = Scratch(spark, "cache").root, {"source": d.rstrip("/").rsplit("/", 1)[-1]}
+    files.save_graph(_part(spark, d), at, about)
+    if not files.cache_valid(spark, at, about):
+        raise ValueError("the cache just written is not valid")
+    return files.load_graph(spark, at).matrix()
+
+
+@query("absorbed_edges", _PART, _close(), _PATHS)
+def absorbed_edges(spark, d):
+    """The closure of two thirds of the edges, with the rest absorbed as a stream's batch would be."""
+    e = _part(spark, d).edges
+    return absorb(C.semi_naive(e.where("i % 3 <> 1")).paths, e.where("i % 3 = 1"))
+
+
 @query("synthesize_family")
 def synthesize_family(spark, d):
     """A seeded family as large as the table of customers: no SQL can make it; tests hold it against its rules."""
