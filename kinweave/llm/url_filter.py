@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _SEGMENT = r"^[a-z][a-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 VERDICT = ["host", "verdict", "pattern", "listed_from"]
@@ -64,6 +66,8 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     active = spread.join(intervals(entries), "pattern").where("valid_from <= fetched_on and (valid_to is null or fetched_on < valid_to)")
     rank = F.struct(F.length("pattern"), (F.col("list") == "allow").cast("int"), F.col("list"), "pattern", "valid_from")
     decided = active.groupBy("host", "_kw_segment", "fetched_on").agg(F.max(rank).alias("_kw_best"))
+    # Written, so that both sides of the join back are shuffled by it alone and a hot key can be split.
+    decided = Scratch(captures.sparkSession, "url-filter").keep(decided, "decided")
     joined = base.join(decided, ["host", "_kw_segment", "fetched_on"], "left")
     verdict = F.when(F.col("host").isNull(), "malformed").otherwise(F.coalesce(F.col("_kw_best.list"), F.lit("unlisted")))
     return joined.select(
