@@ -85,3 +85,12 @@ def random_graph(rng, n, density=0.35):
             if parents and rng.random() < density * 2:
                 a[i][rng.choice(parents)] = v
     return a
+
+# Ten vertices in two components, as cells, and what their closure adds.
+C10_COLORS = [-1, 1, -1, 1, 1, -1, 1, -1, 1, -1]
+C10_EDGES = [(0, 4, 3), (0, 5, 2), (2, 0, 2), (2, 1, 3), (3, 7, 2), (3, 8, 3), (4, 6, 3), (5, 9, 2)]
+C10_ADDED = {(0, 6): 7, (0, 9): 4, (2, 4): 5, (2, 5): 4, (2, 6): 11, (2, 9): 8}
+C10_COMPONENTS = [0, 0, 0, 1, 0, 0, 0, 1, 1, 0]
+# The closure N5 with a sibling of vertex 4, then with a mother of vertex 1.
+RC5_SIBLING = {(5, 0): 2, (5, 1): 4, (5, 2): 5, (5, 3): 8, (5, 5): -1}
+RC5_MOTHER = {(0, 6): 5, (1, 6): 3, (4, 6): 9, (5, 6): 9, (6, 6): 1}

@@ -275,3 +275,25 @@ def test_mutual_exclusions(spark):
     e = spark.createDataFrame([("a", "b", "t"), ("b", "a", "t"), ("b", "c", "t"), ("c", "b", "t")], "source string, destination string, type string")
     got = {(r["from_id"], r["to_id"]) for r in quality.mutual_exclusions(e, v).collect()}
     assert got == {("b", "a"), ("b", "c")}
+
+
+def test_ten_vertices(spark):
+    e = spark.createDataFrame(M.C10_EDGES, "i long, j long, v long")
+    v = spark.createDataFrame(list(enumerate(M.C10_COLORS)), "vertex_id long, color int")
+    want = {(i, j): x for i, j, x in M.C10_EDGES} | M.C10_ADDED
+    for name, run in STRATEGIES.items():
+        assert M.collected(run(e).paths) == want, name
+    labels = {r["vertex_id"]: r["component"] for r in structure.connected_components(e, v).collect()}
+    assert [labels[k] for k in range(10)] == M.C10_COMPONENTS
+    assert {r["component"]: r["size"] for r in structure.component_sizes(structure.connected_components(e, v)).collect()} == {0: 7, 1: 3}
+
+
+def test_sibling_and_great_grandmother(spark):
+    none = spark.createDataFrame([], "k long, v long")
+    one = compose.add_vertex(matrix(spark, M.N5_CLOSED), spark.createDataFrame([(0, 2)], "k long, v long"), none, 5, -1)
+    first = M.cells(M.N5_CLOSED) | M.RC5_SIBLING
+    assert M.collected(one) == first
+    two = compose.add_vertex(one, none, spark.createDataFrame([(1, 3)], "k long, v long"), 6, 1)
+    assert M.collected(two) == first | M.RC5_MOTHER
+    with pytest.raises(ValueError, match="colour"):
+        compose.add_vertex(one, none, none, 7, 0)
