@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -470,7 +471,7 @@ def test_near_vectors_against_brute_force(spark, monkeypatch):
 
 def test_list_decoding_finds_every_exceeding_filter():
     rng = np.random.default_rng(0)
-    caps = near_vectors.plan_caps(24, 2000)
+    caps = near_vectors.plan_caps(24, 2000)[3]
     x = rng.normal(size=(40, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows, codes = near_vectors.decode(caps, x)
@@ -482,6 +483,21 @@ def test_list_decoding_finds_every_exceeding_filter():
     assert {(int(r), int(c)) for r, c in zip(rows, codes, strict=True)} == want
 
 
+@pytest.mark.parametrize(("dim", "rows"), [(64, 10_000), (64, 1_000_000), (16, 5000), (3, 400)])
+def test_pairs_at_the_threshold_share_a_filter(dim, rows):
+    rng = np.random.default_rng(dim)
+    x, y = rng.normal(size=(2, 1500, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    z = 0.95 * x + math.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    codes = near_vectors.plan_caps(dim, rows)
+    held = [set(), set()]
+    for k, v in enumerate((x, z)):
+        held[k] = set(zip(*(a.tolist() for a in near_vectors.decode_all(codes, v)), strict=True))
+    assert len({r for r, _ in held[0] & held[1]}) >= 0.97 * len(x)
+    assert len(held[0]) <= 80 * len(x)
+
+
 # --- url lists --------------------------------------------------------------
 
 
