@@ -30,12 +30,14 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     for _ in range(max_rounds):
         both = held.union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Written, so that the join with a hub's edges has shuffles on both sides and can be split.
+        low_table = scratch.keep(low, "low")
+        large = both.where("v > u").join(low_table, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = scratch.keep(small.where("u <> v").distinct(), "edges")
-        scratch.drop(held)
+        scratch.drop(held, low_table)
         held = now
         state = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
