@@ -249,7 +249,9 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     groups = groups.join(firsts.select(F.col("doc_id").alias("node"), "copies", "grams", "k1", "k2"), "node")
     groups = scratch.keep(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("gid"), "copies", "grams", "k1", "k2"), "groups")
     sizes = groups.groupBy("gid").agg(F.sum("grams").alias("all_grams"), F.count("*").alias("all_rows"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(groups.select("doc_id", "gid", "copies", "k1", "k2"), "doc_id")
+    # Members can be a share of all documents: texts are shuffled once at every size.
+    chosen = groups.select("doc_id", "gid", "copies", "k1", "k2").hint("merge")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
     members = _gram_sets(texts, n).join(sizes, "gid")
     blocks = F.greatest(F.ceil(F.col("all_grams") / BLOCK_GRAMS), F.ceil(F.col("all_rows") / BLOCK_ROWS))
     members = dealt(members, "gid", "doc_id", blocks).select("gid", "bi", "bj", "own", "doc_id", "copies", "set")
