@@ -25,12 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+_roots: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the scratch folders of this driver, once no result is read any more."""
+    while _roots:
+        _delete(spark, _roots.pop())
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """A folder of intermediate tables."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _roots.append(self.root)
         self._made = 0
         self._at: dict[int, str] = {}
 
@@ -45,9 +60,7 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this folder that nothing reads any more."""
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in tables:
             at = self._at.pop(id(df), None)
             if at:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-                path.getFileSystem(conf).delete(path, True)
+                _delete(self.spark, at)
