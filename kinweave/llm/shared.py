@@ -1,31 +1,14 @@
-"""What the operators share: the shared folder, written tables, worker imports."""
+"""What the operators share: written tables in the shared folder, worker imports."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from pyspark.sql import SparkSession
 
+from ..plans import scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is the one named in ``spark.checkpoint.dir``; where that is unset, as in
-    local tests, a temporary folder is made and set for the session.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir()
-    if isinstance(named, str) and named:
-        return named.rstrip("/")
-    if named is not None and not isinstance(named, str) and named.isDefined():
-        return named.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="kinweave-")
-    sc.setCheckpointDir(own)
-    return shared_dir(spark)
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def importable(spark: SparkSession) -> None:
@@ -39,31 +22,9 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
-class Scratch:
+class Scratch(scratch.Scratch):
     """Tables written to the shared folder, which cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, label: str):
         importable(spark)
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self._made = 0
-
-    def path(self, name: str) -> str:
-        self._made += 1
-        return f"{self.root}/{self._made:03d}-{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table once and read it from there."""
-        at = self.path(name)
-        df.write.parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete written tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in tables:
-            for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-                if at.split(":", 1)[-1].lstrip("/").startswith(self.root.split(":", 1)[-1].lstrip("/")):
-                    p = jvm.org.apache.hadoop.fs.Path(at)
-                    p.getFileSystem(conf).delete(p, True)
+        super().__init__(spark, label)
