@@ -23,7 +23,7 @@ def edges(spark, a):
     return matrix(spark, a).where("i <> j")
 
 
-STRATEGIES = {"squaring": C.squaring, "semi_naive": C.semi_naive, "levelwise": C.levelwise, "auto": C.transitive_closure}
+STRATEGIES = {"doubling": C.doubling, "squaring": C.squaring, "semi_naive": C.semi_naive, "levelwise": C.levelwise, "auto": C.transitive_closure}
 
 
 @pytest.mark.parametrize("name", STRATEGIES)
@@ -61,8 +61,11 @@ def test_cycles_are_refused_by_every_strategy(spark):
 
 def test_deep_chains_raise_instead_of_wrapping(spark):
     chain = spark.range(70).selectExpr("id as i", "id + 1 as j", "2L as v")
-    with pytest.raises(OverflowError):
-        C.squaring(chain)
+    for run in (C.squaring, C.doubling):
+        with pytest.raises(OverflowError):
+            run(chain)
+    done = C.doubling(chain.where("i < 37"))
+    assert done.diameter == 37 and done.paths.count() == 37 * 38 // 2
 
 
 def test_empty_graph(spark):
