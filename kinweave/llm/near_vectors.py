@@ -40,7 +40,8 @@ from .shared import Scratch
 
 COSINE = 0.95
 PARTS, CODES, FILTERS, CAP_ROWS = 2, 10, 3, 16
-BLOCK_ROWS = 1024
+#: Vectors of a block of a filter, and filters that are compared at once.
+BLOCK_ROWS, BLOCK_COLUMNS = 512, 512
 
 
 @dataclass(frozen=True)
@@ -132,10 +133,15 @@ def _linked(table: pa.Table, cosine: float) -> pa.RecordBatch | None:
     sizes = [len(c) for c in lists]
     codes, row = np.concatenate(lists), np.repeat(np.arange(n), sizes)
     smaller = codes < here
-    if smaller.any():
-        _, place = np.unique(codes[smaller], return_inverse=True)
-        inside = np.zeros((n, place.max() + 1), np.float32)
-        inside[row[smaller], place] = 1
+    _, place, count = np.unique(codes[smaller], return_inverse=True, return_counts=True)
+    shared = count[place] > 1
+    row, place = row[smaller][shared], (np.cumsum(count > 1) - 1)[place[shared]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    for begin in range(0, int(place[-1]) + 1 if len(place) else 0, BLOCK_COLUMNS):
+        lo, hi = np.searchsorted(place, [begin, begin + BLOCK_COLUMNS])
+        inside = np.zeros((n, BLOCK_COLUMNS), np.float32)
+        inside[row[lo:hi], place[lo:hi] - begin] = 1
         near &= inside @ inside.T < 0.5
     links = near.sum(axis=1)
     keep = np.flatnonzero((links > 0) | (label != np.arange(n)))
