@@ -4,9 +4,10 @@ A seed is a window of ``SPAN`` tokens of which a fixed mask keeps some and
 ignores the others, so windows that differ at ignored positions hash alike.
 All windows of the benchmark are hashed under every mask, and so are those of
 the training texts; both are joined on the hash. Around each hit the aligned
-tokens, ``MARGIN`` to either side of the window and inside both texts, are
-compared: an overlap of at least ``MIN_OVERLAP`` tokens of which at least
-``MIN_EQUAL`` are equal counts. Substituted tokens are tolerated, inserted or
+tokens, up to ``MARGIN`` to either side of the window and inside both texts,
+are compared: any overlap that holds the window, has at least ``MIN_OVERLAP``
+tokens and at least ``MIN_EQUAL`` of them equal counts, so a passage may begin
+and end anywhere in both texts. Substituted tokens are tolerated, inserted or
 missing ones end an overlap.
 
 Tokens are maximal runs of letters and digits, lower-cased. The seeds of the
@@ -65,21 +66,30 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = _seeds(docs.select("doc_id", hashed("text").alias("h")), "doc_pos").join(item_seeds, "seed")
     hits = hits.join(item_texts, "item_key")
     left = F.least(F.col("doc_pos"), F.col("item_pos"), F.lit(MARGIN))
-    right = F.least(F.size("h") - F.col("doc_pos"), F.size("item_h") - F.col("item_pos"), F.lit(SPAN + MARGIN))
-    hits = hits.withColumn("left", left).withColumn("n_tokens", left + right)
-    equal = F.size(
-        F.filter(
-            F.arrays_zip(
-                F.slice("h", F.col("doc_pos") - F.col("left") + 1, F.col("n_tokens")).alias("a"),
-                F.slice("item_h", F.col("item_pos") - F.col("left") + 1, F.col("n_tokens")).alias("b"),
-            ),
-            lambda x: x["a"] == x["b"],
-        )
+    right = F.least(F.size("h") - F.col("doc_pos"), F.size("item_h") - F.col("item_pos"), F.lit(SPAN + MARGIN)) - SPAN
+    hits = hits.withColumn("left", left).withColumn("right", right)
+    n = F.col("left") + SPAN + F.col("right")
+    same = F.transform(
+        F.arrays_zip(
+            F.slice("h", F.col("doc_pos") - F.col("left") + 1, n).alias("a"),
+            F.slice("item_h", F.col("item_pos") - F.col("left") + 1, n).alias("b"),
+        ),
+        lambda x: x["a"] == x["b"],
     )
-    found = hits.select(
-        "doc_id", "item_id", equal.alias("n_equal"), "n_tokens", (F.col("doc_pos") - F.col("left")).alias("doc_at"), (F.col("item_pos") - F.col("left")).alias("item_at")
-    ).where((F.col("n_tokens") >= MIN_OVERLAP) & (F.col("n_equal") >= F.col("n_tokens") * F.lit(MIN_EQUAL)))
-    best = F.max(F.struct("n_equal", "n_tokens", (-F.col("doc_at")).alias("d"), (-F.col("item_at")).alias("i")))
+    # No part of a neighbourhood with fewer equal tokens can hold an overlap.
+    hits = hits.withColumn("same", same).where(F.size(F.filter("same", lambda x: x)) >= F.lit(MIN_OVERLAP * MIN_EQUAL))
+
+    def window(before: Column, after: Column) -> Column:
+        inside = F.slice("same", F.col("left") - before + 1, before + SPAN + after)
+        return F.struct(
+            F.size(F.filter(inside, lambda x: x)).alias("n_equal"), F.size(inside).alias("n_tokens"), (before - F.col("doc_pos")).alias("d"), (before - F.col("item_pos")).alias("i")
+        )
+
+    steps = lambda c: F.sequence(F.lit(0), F.col(c))
+    windows = F.flatten(F.transform(steps("left"), lambda x: F.transform(steps("right"), lambda y: window(x, y))))
+    enough = F.filter(windows, lambda w: (w["n_tokens"] >= MIN_OVERLAP) & (w["n_equal"] >= w["n_tokens"] * F.lit(MIN_EQUAL)))
+    found = hits.select("doc_id", "item_id", F.array_max(enough).alias("w")).where("w is not null")
+    best = F.max("w")
     best_of = found.groupBy("doc_id", "item_id").agg(best.alias("b"))
     long = lambda c: c.cast("long")
     return best_of.select(

@@ -225,6 +225,34 @@ def test_overlaps_are_the_same_without_broadcast(spark, monkeypatch):
     assert broadcast and sorted(map(tuple, decontaminate.overlaps(documents(spark, rows), bench).collect())) == broadcast
 
 
+def test_passages_from_inside_an_item(spark):
+    """Every overlap of 13 tokens with four fifths equal counts, wherever it lies in two longer texts."""
+    rng = random.Random(11)
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(12)]
+    rows, want = [], {}
+    for k, item in enumerate(items):
+        at = 8 + k
+        for n, changed in ((13, ()), (14, ()), (15, ()), (16, (8,)), (18, (4, 9, 14)), (20, (2, 7, 12, 17))):
+            part = item[at : at + n]
+            for c in changed:
+                part[c] = f"c{rng.randrange(10**6)}"
+            key = len(rows)
+            rows.append((key, " ".join([words(rng, 30, 10**7), *part, words(rng, 30, 10**7)])))
+            want[key] = (k, n, n - len(changed), 30, at)
+        rows.append((len(rows), " ".join([words(rng, 30, 10**7), *item[at : at + 10], words(rng, 30, 10**7)])))
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.overlaps(documents(spark, rows), bench).collect()}
+    missed = [key for key in want if key not in got]
+    assert not [key for key in missed if want[key][1] - want[key][2] < 3], missed
+    assert len(missed) <= 2 and set(got) <= set(want)
+    for key, r in got.items():
+        item, n, equal, doc_at, item_at = want[key]
+        assert r["item_id"] == item and r["n_tokens"] >= 13 and r["n_equal"] >= 0.8 * r["n_tokens"]
+        assert r["n_equal"] <= equal and r["doc_at"] - r["item_at"] == doc_at - item_at
+        if n <= 15:
+            assert r["n_equal"] == n and r["doc_at"] <= doc_at and r["item_at"] <= item_at
+
+
 # --- packing ----------------------------------------------------------------
 
 
