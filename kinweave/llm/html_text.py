@@ -7,7 +7,8 @@ blocks; the ratios to the number of blocks are fused into one score, which is
 smoothed along the page and pooled over the path's container. Paths whose
 containers score over a share of the best one are content. Blocks under
 elements that are never content (navigation, footers, forms and the like, by
-tag, role or class) weigh nothing; where a page marks its article, the article
+tag, role, class or id; inside an article no id and only whole classes tell)
+weigh nothing; where a page marks its article, the article
 is one container and what is outside it weighs little.
 
 A block's text has its character references decoded and white space turned
@@ -44,7 +45,8 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))",
     re.S,
 )
-_NAMED = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute: its whole name, and its quoted or bare value.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=][^\s"'<>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -53,12 +55,15 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 _NEVER = frozenset("head nav footer aside form button select option svg math canvas object audio video dialog menu fieldset datalist".split())
 _NEVER_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-_NEVER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|sidebars?|side|footer|cookies?|consent|gdpr|notices?|alerts?|"
+_WORDS = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|sidebars?|side|footer|cookies?|consent|gdpr|notices?|alerts?|"
     r"popup|modal|overlay|newsletter|subscribe|signup|login|social|share|sharing|related|recommend\w*|comments?|disqus|respond|replies|reply|widgets?|"
-    r"pagination|pager|toolbar|skip|disclaimer|copyright|masthead)(?:$|[\s_-])",
-    re.I,
+    r"pagination|pager|toolbar|skip|disclaimer|copyright|masthead)"
 )
+_NEVER_NAME = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])", re.I)
+#: A whole class token of such words, with words of layout behind them: inside an article a single word may be about its subject.
+_NEVER_TOKEN = re.compile(rf"{_WORDS}(?:[_-]+(?:{_WORDS}|box|bar|block|buttons?|container|icons?|links?|list|posts?|slot|unit|wrap|wrapper))*", re.I)
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|topbar|top)(?:$|[\s_-])", re.I)
 _ARTICLE = frozenset(("article", "main"))
 #: An open element of the key is closed by a start tag of the values.
@@ -101,19 +106,25 @@ def _element(tag: str, rest: str, parent: _Open) -> _Open:
     name, never, article = tag, parent.never or tag in _NEVER, parent.article or tag in _ARTICLE
     if tag == "header" and not article:
         never = True
-    for key, value in _NAMED.findall(rest) if len(rest) > 4 else ():
-        key, value = key.lower(), value.strip("\"'").strip()
-        if key == "role":
-            never |= value.lower() in _NEVER_ROLE
-            article |= value.lower() in ("main", "article") and not never
-        elif key == "hidden":
-            never = True
-        elif key == "aria-hidden":
-            never |= value.lower() == "true"
-        else:
-            name += ("." if key == "class" else "#") + value
-            if tag not in ("html", "body", "article", "main"):
-                never |= bool(_NEVER_NAME.search(value)) or (not article and bool(_HEADER_NAME.search(value)))
+    held: dict[str, str] = {}
+    for key, value in _ATTRIBUTE.findall(rest) if len(rest) > 2 else ():
+        # Of a repeated attribute the first holds.
+        held.setdefault(key.lower(), value.strip("\"'").strip())
+    never |= "hidden" in held or held.get("aria-hidden", "").lower() == "true"
+    if "role" in held:
+        never |= held["role"].lower() in _NEVER_ROLE
+        article |= held["role"].lower() in ("main", "article") and not never
+    for key in ("class", "id"):
+        if key not in held:
+            continue
+        value = held[key]
+        name += ("." if key == "class" else "#") + value
+        if tag in ("html", "body", "article", "main"):
+            continue
+        if article:
+            never |= key == "class" and any(_NEVER_TOKEN.fullmatch(t) for t in value.split())
+        elif key == "class" or tag not in _HEADING:
+            never |= bool(_NEVER_NAME.search(value)) or bool(_HEADER_NAME.search(value))
     return _Open(tag, name, never, article)
 
 

@@ -466,6 +466,23 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "attribute",
+    [
+        'style="overflow:hidden"', 'title="The hidden city"', 'data-role="banner"', 'data-id="nav"', "data-class=footer", "title='class=nav id=menu hidden'",
+        'id="related-work"', 'class="related-work"', "hidden-at=never", 'aria-hidden="false"', "data-x=hidden", 'title=a/hidden',
+    ],
+)
+def test_other_attributes_hide_nothing(attribute):
+    page = f"<article><p>Before, it.</p><section {attribute}><h2 id=social-history>Head</h2><p>Kept, all.</p></section></article>"
+    assert html_text.main_text(page) == "Before, it.\nHead\nKept, all."
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "HIDDEN=''", "title='x'hidden", "aria-hidden=true", "role='navigation'", "class='x share-buttons'", "class=ad", "/class=nav"])
+def test_own_attributes_hide(attribute):
+    assert html_text.main_text(f"<article><p>Before, it.</p><section {attribute}><p>Gone, all.</p></section></article>") == "Before, it."
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(k, "u", p, "x") for k, (p, _) in enumerate(PAGES)] + [(None, None, None, "x")], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
