@@ -5,6 +5,9 @@ Edges are ``(source, destination, type)``, vertices ``(id, given_name, surname,
 
 from __future__ import annotations
 
+import itertools
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,16 +122,17 @@ def relationship_types(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(edges, ["source", "destination"], "left").select("source", "destination", F.coalesce("type", F.lit("Unknown")).alias("type"))
 
 
-def shortest_cycle(edges: DataFrame, start: int, max_length: int = 64) -> list[int] | None:
+def shortest_cycle(edges: DataFrame, start: int, max_length: int | None = None) -> list[int] | None:
     """The vertices of a shortest cycle through ``start``, which ends it too; the smallest path on ties.
 
-    A breadth-first search that keeps one path a vertex.
+    A breadth-first search that keeps one path a vertex and ends when no new
+    vertex is reached. A caller's ``max_length`` warns where it ends the search.
     """
     scratch = Scratch(edges.sparkSession, "cycle")
     pairs = edges.select("i", "j").distinct()
     front = edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("at"), F.array(F.lit(start).cast("long")).alias("path"))
     seen = None
-    for _ in range(max_length):
+    for _ in itertools.count() if max_length is None else range(max_length):
         moved = front.join(pairs, front["at"] == pairs["i"]).select(F.col("j").alias("at"), F.concat("path", F.array("j")).alias("path"))
         moved = moved.groupBy("at").agg(F.min("path").alias("path"))
         if seen is not None:
@@ -139,28 +143,45 @@ def shortest_cycle(edges: DataFrame, start: int, max_length: int = 64) -> list[i
             return list(closed["path"])
         if front.isEmpty():
             return None
-        seen = front.select("at") if seen is None else seen.union(front.select("at"))
+        seen = scratch.keep(front.select("at") if seen is None else seen.union(front.select("at")), "seen")
+    warnings.warn(f"no cycle of up to {max_length} edges; longer ones were not searched", stacklevel=2)
     return None
 
 
-def simple_cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
-    """``(cycle)`` of all simple cycles of up to ``max_length`` edges, each from its smallest vertex on."""
+def _trimmed(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The distinct edges that are left when sources and sinks are taken off until there are none."""
+    pairs = scratch.keep(edges.select("i", "j").distinct(), "edges")
+    count = pairs.count()
+    while True:
+        less = pairs.join(pairs.select(F.col("j").alias("i")).distinct(), "i", "left_semi").join(pairs.select(F.col("i").alias("j")).distinct(), "j", "left_semi")
+        less = scratch.keep(less.select("i", "j"), "edges")
+        n = less.count()
+        if n == count:
+            return less
+        pairs, count = less, n
+
+
+def simple_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """``(cycle)`` of all simple cycles, each from its smallest vertex on.
+
+    A caller's ``max_length`` leaves out cycles of more edges, and warns when
+    paths were still open.
+    """
     scratch = Scratch(edges.sparkSession, "cycles")
-    pairs = edges.select("i", "j").distinct()
-    # Only vertices with edges in and out can lie on a cycle.
-    for _ in range(2):
-        pairs = pairs.join(pairs.select(F.col("j").alias("i")).distinct(), "i", "left_semi").join(pairs.select(F.col("i").alias("j")).distinct(), "j", "left_semi")
-    pairs = scratch.keep(pairs.select("i", "j"), "edges")
+    pairs = _trimmed(edges, scratch)
     walk = pairs.where("j >= i").select(F.col("i").alias("start"), F.col("j").alias("at"), F.array("i").alias("cycle"))
     found = walk.where("at = start").select("cycle")
     walk = scratch.keep(walk.where("at <> start"), "walk")
-    for _ in range(max_length - 1):
+    for length in itertools.count(1):
+        if walk.isEmpty():
+            break
+        if max_length is not None and length >= max_length:
+            warnings.warn(f"cycles of more than {max_length} edges were not searched", stacklevel=2)
+            break
         moved = walk.select("start", "at", F.concat("cycle", F.array("at")).alias("cycle")).join(pairs, F.col("at") == F.col("i"))
         moved = scratch.keep(moved.where("j >= start and (j = start or not array_contains(cycle, j))").select("start", F.col("j").alias("at"), "cycle"), "walk")
         found = found.union(moved.where("at = start").select("cycle"))
         walk = moved.where("at <> start")
-        if walk.isEmpty():
-            break
     return found
 
 
@@ -195,16 +216,7 @@ def break_cycles(cycles: DataFrame, edges: DataFrame, strategy: str = "weakest_l
 def cycle_participants(edges: DataFrame) -> DataFrame:
     """``(vertex_id)`` of the vertices on any cycle: those that trimming of sources and sinks, and then reachability of oneself, leave."""
     scratch = Scratch(edges.sparkSession, "participants")
-    pairs = scratch.keep(edges.select("i", "j").distinct(), "edges")
-    count = pairs.count()
-    while True:
-        less = pairs.join(pairs.select(F.col("j").alias("i")).distinct(), "i", "left_semi").join(pairs.select(F.col("i").alias("j")).distinct(), "j", "left_semi")
-        less = scratch.keep(less.select("i", "j"), "edges")
-        n = less.count()
-        if n == count:
-            break
-        pairs, count = less, n
-    reach = scratch.keep(less, "reach")
+    reach = scratch.keep(_trimmed(edges, scratch), "reach")
     size = reach.count()
     while True:
         more = reach.select("i", F.col("j").alias("k")).join(reach.select(F.col("i").alias("k"), "j"), "k").select("i", "j")

@@ -762,7 +762,7 @@ _CYCLES = "w AS (SELECT i AS start, j AS spot, [i] AS path FROM e WHERE j >= i U
 
 @query("enumerate_cycles", _CYC, _CYCLES, "SELECT DISTINCT array_to_string(path, '>') AS cycle FROM w WHERE spot = start")
 def enumerate_cycles(spark, d):
-    found = quality.simple_cycles(fixtures.cyclic_graph(spark, d).edges, 8)
+    found = quality.simple_cycles(fixtures.cyclic_graph(spark, d).edges)
     return found.select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"))
 
 
@@ -783,7 +783,7 @@ def edge_reliability(spark, d):
 def break_cycles_weakest(spark, d):
     e = fixtures.cyclic_graph(spark, d).edges
     scored = e.selectExpr("i as source", "j as destination", "(i * 3 + j) % 17 as score")
-    return quality.weakest_links(quality.simple_cycles(e, 8), scored).select("source", "destination").distinct()
+    return quality.weakest_links(quality.simple_cycles(e), scored).select("source", "destination").distinct()
 
 
 @query("relationship_types", _SUPPLY, "SELECT p_partkey AS source, p_partkey % 50 AS destination, coalesce(type, 'Unknown') AS type FROM part LEFT JOIN ed ON ed.source = p_partkey AND ed.destination = p_partkey % 50")

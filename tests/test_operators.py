@@ -273,6 +273,18 @@ def test_cycles_and_breaking(spark):
     assert {(r["source"], r["destination"]): r["score"] for r in scores.collect()} == {(1, 2): 100, (2, 3): 20, (3, 1): 50, (3, 2): 30}
 
 
+def test_long_cycles(spark):
+    ring = [(k, (k + 1) % 11) for k in range(11)] + [(3, 20), (20, 21), (30, 31), (31, 0)]
+    e = spark.createDataFrame(ring, "i long, j long")
+    assert [list(r["cycle"]) for r in quality.simple_cycles(e).collect()] == [list(range(11))]
+    with pytest.warns(UserWarning, match="more than 8 edges"):
+        assert quality.simple_cycles(e, 8).count() == 0
+    with pytest.warns(UserWarning, match="up to 5 edges"):
+        assert quality.shortest_cycle(e, 2, 5) is None
+    long = spark.createDataFrame([(k, (k + 1) % 66) for k in range(66)], "i long, j long")
+    assert quality.shortest_cycle(long, 0) == [*range(66), 0]
+
+
 def test_mutual_exclusions(spark):
     v = spark.createDataFrame([("a", "A", "x", 0), ("b", "B", "x", 2), ("c", "C", "x", 2)], "id string, given_name string, surname string, iteration long")
     e = spark.createDataFrame([("a", "b", "t"), ("b", "a", "t"), ("b", "c", "t"), ("c", "b", "t")], "source string, destination string, type string")
