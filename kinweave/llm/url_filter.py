@@ -4,7 +4,7 @@ A list is a log of dated entries: on a day a pattern enters or leaves a list.
 The log becomes validity intervals ``[valid_from, valid_to)``, and an as-of join
 evaluates each capture against the entries that were active on its fetch day.
 
-Patterns are domains (``example.org``, which holds for its subdomains too) or a
+Patterns are domains (``example.org`` or ``org``, which hold for subdomains too) or a
 host and the first segment of the path (``example.org/news``). Of the active
 entries the longest pattern decides; at equal length the list ``allow`` wins.
 
@@ -58,9 +58,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     )
     asked = base.where("host is not null and fetched_on is not null").select("host", "_kw_segment", "fetched_on").distinct()
     labels = F.split("host", r"\.")
-    tails = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     paths = F.when(F.col("_kw_segment") != "", F.array(F.concat_ws("/", "host", "_kw_segment"))).otherwise(F.expr("cast(array() as array<string>)"))
     spread = asked.select("host", "_kw_segment", "fetched_on", F.explode(F.concat(tails, paths)).alias("pattern"))
     active = spread.join(intervals(entries), "pattern").where("valid_from <= fetched_on and (valid_to is null or fetched_on < valid_to)")

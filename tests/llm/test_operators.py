@@ -568,6 +568,13 @@ def test_temporal_list_join(spark):
     assert {r["verdict"] for r in url_filter.evaluate(captures, entries.limit(0)).collect()} == {"unlisted", "malformed"}
 
 
+def test_top_level_domains(spark):
+    entries = spark.sql("select 'org' as pattern, 'block' as list, date'2024-01-01' as day, true as active union all select 'a.org', 'allow', date'2024-01-01', true")
+    urls = [("http://example.org/x", "block"), ("http://x.y.org", "block"), ("http://org/", "block"), ("http://b.a.org", "allow"), ("http://example.com", "unlisted")]
+    captures = spark.createDataFrame(urls, "url string, want string").withColumn("fetched_on", F.lit("2024-02-01").cast("date"))
+    assert [r for r in url_filter.evaluate(captures, entries).collect() if r["verdict"] != r["want"]] == []
+
+
 # --- pipeline ---------------------------------------------------------------
 
 
