@@ -1,9 +1,10 @@
 """Quality classifier: a regularised quadratic discriminant.
 
-Statistics of the whole text (shares of character classes, words and lines) are transformed to be nearer to normal. For each class the mean and
-a covariance shrunk towards the pooled one and towards its diagonal are held as
-Cholesky factors; a score is the logistic of the difference of the classes'
-log densities, each a Mahalanobis distance by a triangular solve.
+Statistics of the whole text (shares of character classes, words and lines) are
+transformed to be nearer to normal. For each class the mean and a covariance,
+shrunk towards the pooled one and towards its diagonal and held as its Cholesky
+factor, are fitted once; a score is the logistic of the difference of the
+classes' log densities, each a Mahalanobis distance by a triangular solve.
 
 The fit takes at most ``SAMPLE`` labelled documents a class, chosen by a hash of
 the id; the class shares are counted over all labelled rows. Scoring covers
@@ -12,7 +13,8 @@ every row and every character, with no shuffle.
 Defined cases: null text reads as empty; an empty text is scored from its
 statistics like any other; null ids pass through and are not held out; labels
 that are null, other than 0 and 1, or of unknown documents teach nothing; a
-document labelled twice counts twice; if a class has no labelled row, every
+document labelled twice counts twice, and one of several texts of an id (the
+smallest) is fitted on; if a class has no labelled row, every
 score is the share of label 1 (0.5 without labels); an empty table gives an
 empty table; other columns are not looked at.
 """
@@ -37,7 +39,7 @@ POOLED, DIAGONAL = 0.2, 0.1
 #: Score from which a document is predicted to be of quality.
 CUT = 0.3
 
-_LETTER, _UPPER, _DIGIT, _BLANK, _STOP, _BANG, _MARK, _TAIL = 1, 2, 3, 4, 5, 6, 7, 8
+_LETTER, _UPPER, _DIGIT, _BLANK, _STOP, _BANG, _MARK, _TAIL, _BREAK = range(1, 10)
 
 
 def _classes() -> np.ndarray:
@@ -45,7 +47,8 @@ def _classes() -> np.ndarray:
     kinds[[*range(97, 123), *range(0xC0, 256)]] = _LETTER
     kinds[list(range(65, 91))] = _UPPER
     kinds[list(range(48, 58))] = _DIGIT
-    kinds[list(b" \t\n\r\x0b\x0c")] = _BLANK
+    kinds[list(b" \t\r\x0b\x0c")] = _BLANK
+    kinds[ord("\n")] = _BREAK
     kinds[list(b".,;:?'\"()-")] = _STOP
     kinds[ord("!")] = _BANG
     kinds[list(range(0x80, 0xC0))] = _TAIL
@@ -58,15 +61,26 @@ FEATURES = ("upper", "digits", "stops", "bangs", "marks", "blank", "word", "shor
 CHARS, WORDS = 100, 20
 
 
+def _kinds_of(data: np.ndarray, at: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """Numbers of bytes of each kind in each row."""
+    rows, width = len(at) - 1, _BREAK + 1
+    counts = np.zeros(rows * width)
+    for begin in range(0, len(data), piece):
+        end = min(begin + piece, len(data))
+        lo, hi = np.searchsorted(at, begin, "right") - 1, np.searchsorted(at, end)
+        row = np.repeat(np.arange(lo, hi), np.minimum(at[lo + 1 : hi + 1], end) - np.maximum(at[lo:hi], begin))
+        counts += np.bincount(row * width + _KINDS[data[begin:end]], minlength=rows * width)
+    return counts.reshape(rows, width)
+
+
 def statistics(column: pa.Array) -> np.ndarray:
     """One row of transformed statistics for each text."""
     data, at = buffers(column)
     rows = len(at) - 1
-    kinds = _KINDS[data]
-    counts = np.zeros((rows, 9))
-    for k in range(1, 9):
-        total = np.concatenate([[0], np.cumsum(kinds == k)])
-        counts[:, k] = total[at[1:]] - total[at[:-1]]
+    counts = _kinds_of(data, at)
+    n_lines = counts[:, _BREAK] + 1
+    counts[:, _BLANK] += counts[:, _BREAK]
+    counts[:, _BREAK] = 0
     chars = np.maximum(counts.sum(axis=1) - counts[:, _TAIL], 0)
     words = words_of(column)
     n_words = np.diff(words.at).astype(float)
@@ -76,6 +90,9 @@ def statistics(column: pa.Array) -> np.ndarray:
 
     def distinct(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Number of distinct hashes of each row."""
+        if rows == 1:
+            ordered = np.sort(hashes)
+            return np.array([np.count_nonzero(ordered[1:] != ordered[:-1]) + bool(len(ordered))])
         _, first = np.unique(mix(hashes + (of.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
         return np.bincount(of[first], minlength=rows)
 
@@ -86,8 +103,6 @@ def statistics(column: pa.Array) -> np.ndarray:
     n_pairs = np.bincount(pair_row, minlength=rows).astype(float)
     varied_pairs = distinct(pairs[inside], pair_row)
     stutter = np.bincount(pair_row[(words.hashes[:-1] == words.hashes[1:])[inside]], minlength=rows)
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    n_lines = breaks[at[1:]] - breaks[at[:-1]] + 1.0
     letters = counts[:, _LETTER] + counts[:, _UPPER]
     angle = lambda share: np.arcsin(np.sqrt(np.clip(share, 0, 1)))
     # Shares of short texts are drawn towards a usual value, with the weight of so many characters or words.
@@ -125,14 +140,22 @@ class Discriminant:
             return np.full(len(x), self.share)
         logs = []
         for k in (0, 1):
-            z = (x - self.means[k]) @ self.factors[k].T
+            z = solved(self.factors[k], x - self.means[k])
             logs.append(-0.5 * (z * z).sum(axis=1) - self.logdets[k])
         margin = logs[1] - logs[0] + np.log(self.share / (1 - self.share))
         return 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
 
 
+def solved(low: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Rows ``z`` with ``low @ z = d``, by forward substitution."""
+    z = np.empty_like(d)
+    for k in range(len(low)):
+        z[:, k] = (d[:, k] - z[:, :k] @ low[k, :k]) / low[k, k]
+    return z
+
+
 def fit(x: np.ndarray, y: np.ndarray, share: float, pooled: float = POOLED, diagonal: float = DIAGONAL) -> Discriminant:
-    """Class means, and inverse Cholesky factors of the shrunk covariances."""
+    """Class means, and Cholesky factors of the shrunk covariances."""
     if not 0 < share < 1 or min((y == 0).sum(), (y == 1).sum()) < 1:
         return Discriminant(share, np.zeros((0, 0)), np.zeros((0, 0, 0)), np.zeros(0))
     spread = [np.cov(x[y == k].T, bias=True) if (y == k).sum() > 1 else np.zeros((x.shape[1],) * 2) for k in (0, 1)]
@@ -143,7 +166,7 @@ def fit(x: np.ndarray, y: np.ndarray, share: float, pooled: float = POOLED, diag
         own = (1 - diagonal) * own + diagonal * np.diag(np.diag(own)) + 1e-4 * np.eye(len(own))
         low = np.linalg.cholesky(own)
         means.append(x[y == k].mean(axis=0))
-        factors.append(np.linalg.inv(low))
+        factors.append(low)
         logdets.append(np.log(np.diag(low)).sum())
     return Discriminant(share, np.array(means), np.array(factors), np.array(logdets))
 
@@ -170,10 +193,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Discrimin
     picked = []
     for k in (0, 1):
         picked += chosen.where(F.col("quality") == k).orderBy("u", "doc_id").limit(sample).collect()
-    ids = spark.createDataFrame([(r["doc_id"], r["quality"]) for r in picked], "_kw_id long, quality int")
+    ids = spark.createDataFrame([(k,) for k in {r["doc_id"] for r in picked}], "_kw_id long")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("_kw_id"))
-    rows = rows.select("quality", "text").mapInArrow(_measured, "quality int, x array<double>").collect()
-    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["quality"] for r in rows])
+    # An id may have any number of rows; one text of each comes to the driver, as its statistics.
+    rows = rows.groupBy("_kw_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    known = {r["doc_id"]: r["x"] for r in rows.mapInArrow(_measured, "doc_id long, x array<double>").collect()}
+    picked = [r for r in picked if r["doc_id"] in known]
+    x, y = np.array([known[r["doc_id"]] for r in picked]).reshape(len(picked), len(FEATURES)), np.array([r["quality"] for r in picked])
     order = np.lexsort([*x.T, y])  # the same sums, whatever order the rows came in
     return fit(x[order], y[order], share)
 
@@ -183,7 +209,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin, end in slices(batch.column(1)):
             x = statistics(batch.column(1).slice(begin, end - begin))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), lists], ["quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), lists], ["doc_id", "x"])
 
 
 def score_documents(docs: DataFrame, model: Discriminant) -> DataFrame:
@@ -218,7 +244,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_documents(docs, model).select(
         "doc_id",
-        (_remainder("doc_id", 5) == 0).alias("held_out"),
+        F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= CUT).cast("int").alias("predicted"),
     )
