@@ -23,6 +23,7 @@ not looked at.
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -42,7 +43,10 @@ SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
     "sequence_tokens long, step_group long, tokens binary"
 )
-_encoders: dict[str, Callable[[str], list[int]]] = {}
+_encoders: dict[tuple[str, bool], Callable[[str], list[int]]] = {}
+#: Blanks in a row from which a run is encoded by itself; the class is what the pattern calls white space.
+LONG_BLANK = 1 << 14
+_LONG_BLANK = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_BLANK},}}")
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -53,43 +57,82 @@ def _byte_symbols() -> dict[str, int]:
     return symbols | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Text to ids by a byte-level BPE file of ``tokenizers``; special strings are ordinary text.
+def encoder(path: str, special_ids: bool = False) -> Callable[[str], list[int]]:
+    """Text to ids by a byte-level BPE file of ``tokenizers``.
 
-    Where the file's ids are its merge ranks, ``tiktoken`` encodes from the same
-    file with the same ids at a fifth of the time; else ``tokenizers`` itself does.
+    Special strings in a text are ordinary text, or with ``special_ids`` their
+    own ids, as a plain ``encode`` of the file gives them. Where the file's ids
+    are its merge ranks, ``tiktoken`` encodes from the same file with the same
+    ids at a fifth of the time; else ``tokenizers`` itself does.
     """
-    if path not in _encoders:
+    key = (path, special_ids)
+    if key not in _encoders:
         from tokenizers import Tokenizer
 
         exact = Tokenizer.from_file(path)
-        exact.encode_special_tokens = True
+        exact.encode_special_tokens = not special_ids
         slow = lambda text: exact.encode(text, add_special_tokens=False).ids
-        _encoders[path] = _ranked(path, slow) or slow
-    return _encoders[path]
+        _encoders[key] = _ranked(path, slow, special_ids) or slow
+    return _encoders[key]
 
 
-def _ranked(path: str, exact: Callable[[str], list[int]]) -> Callable[[str], list[int]] | None:
+def _ranked(path: str, exact: Callable[[str], list[int]], special_ids: bool) -> Callable[[str], list[int]] | None:
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
     model, symbols = file["model"], _byte_symbols()
-    pre = file.get("pre_tokenizer") or {}
+    pre, added = file.get("pre_tokenizer") or {}, file.get("added_tokens", [])
     merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
     vocab = model["vocab"]
-    plain = {a["content"] for a in file.get("added_tokens", [])}
+    plain = {a["content"] for a in added}
     known = {t: k for t, k in vocab.items() if t not in plain}
     order = [vocab.get("".join(m), -1) for m in merges]
     if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or order != sorted(order) or any(c not in symbols for t in known for c in t):
         return None
+    if file.get("normalizer") or any(not a["special"] or a["single_word"] or a["lstrip"] or a["rstrip"] for a in added):
+        return None
     ranks = {bytes(symbols[c] for c in t): k for t, k in known.items()}
     if len(ranks) != len(known) or any(bytes([b]) not in ranks for b in range(256)):
         return None
     fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    probe = "It's  a\tprobe\n\n  Größe, niño 12345 你好 \U0001f600 é <|endoftext|> \x00end  "
-    return fast.encode_ordinary if fast.encode_ordinary(probe) == exact(probe) else None
+    special = {a["content"]: a["id"] for a in added} if special_ids else {}
+    marks = re.compile("|".join(f"({re.escape(t)})" for t in sorted(special, key=len, reverse=True))) if special else None
+
+    def ordinary(text: str) -> list[int]:
+        if len(text) < LONG_BLANK:
+            return fast.encode_ordinary(text)
+        ids: list[int] = []
+        at = 0
+        for run in _LONG_BLANK.finditer(text):
+            # The pattern's search for the end of a run is recursive, so a long run is split off where the pattern
+            # would end it: before its last blank, which may belong to a word, or at the end of the text.
+            stop = run.end() if run.end() == len(text) else run.end() - 1
+            ids += fast.encode_ordinary(text[at : run.start()])
+            ids += fast._encode_single_piece(text[run.start() : stop])
+            at = stop
+        return ids + fast.encode_ordinary(text[at:])
+
+    def encode(text: str) -> list[int]:
+        try:
+            if marks is None or not marks.search(text):
+                return ordinary(text)
+            ids: list[int] = []
+            at = 0
+            for found in marks.finditer(text):
+                ids += ordinary(text[at : found.start()])
+                ids.append(special[found[0]])
+                at = found.end()
+            return ids + ordinary(text[at:])
+        except BaseException as error:
+            # A panic of the library is no Exception; the other one has no such limits.
+            if type(error).__name__ != "PanicException":
+                raise
+            return exact(text)
+
+    probe = "It's  a\tprobe\n\n  Größe, niño 12345 你好 \U0001f600 é <|endoftext|> \x00end  "
+    return encode if encode(probe) == exact(probe) else None
 
 
 class Pool:
@@ -183,8 +226,11 @@ def balanced(windows: list[list[tuple]], group: int) -> list[int]:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS, horizon: int = HORIZON, group: int = GROUP) -> DataFrame:
-    """``docs (doc_id, text)`` to one row a piece, with its ids as little-endian 32-bit ``tokens``."""
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS, horizon: int = HORIZON, group: int = GROUP, special_ids: bool = False) -> DataFrame:
+    """``docs (doc_id, text)`` to one row a piece, with its ids as little-endian 32-bit ``tokens``.
+
+    Special strings in a text are ordinary text unless ``special_ids``, see :func:`encoder`.
+    """
     importable(docs.sparkSession)
     if tokenizer is None:
         import public_tokenizers
@@ -194,7 +240,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[i
     top = tiers[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, special_ids)
         base = TaskContext.get().partitionId() << 36
         pool, full, gathered = Pool(), [], 0
         sequences = groups = 0
@@ -243,4 +289,4 @@ def with_digest(pieces: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_digest(pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return with_digest(pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), special_ids=True))
