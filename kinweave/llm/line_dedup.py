@@ -11,8 +11,9 @@ and with A-Z lower-cased; it is held as two 64-bit hashes. Keys of fewer than
 ``min_chars`` code points are never duplicates.
 
 Defined cases: null or empty text is one empty line; rows with a null id keep
-all their lines and index none; repeated ids count as one document; an empty
-table gives an empty table; other columns of the input are not looked at.
+all their lines and index none; repeated ids count as one document, whatever
+their texts; ids may be any 64-bit numbers; an empty table gives an empty
+table; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -96,33 +97,46 @@ class LineRuns:
         return lines.join(again.select("h1", "h2", "first"), ["h1", "h2"]).where("doc_id <> first").drop("first")
 
 
+def ranges(docs: DataFrame, batches: int) -> Column:
+    """The batch of each document: ranges of ascending ids that hold about as many rows each."""
+    shares = F.lit([k / batches for k in range(1, batches)])
+    ends = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 1000).alias("q")).first()["q"] if batches > 1 else None
+    batch = F.lit(0)
+    for end in sorted(set(ends or ())):
+        batch = batch + (F.col("doc_id") > F.lit(end)).cast("int")
+    return batch
+
+
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, scratch: Scratch | None = None) -> DataFrame:
-    """``(doc_id, gone)``: for each document that loses lines, the first hashes of their keys.
+    """``(doc_id, version, gone)``: for each document text that loses lines, their numbers from 0.
 
-    Both hashes decide which lines are equal; inside one document the first tells them apart.
+    ``version`` is the hash of the text, which tells several texts of one id apart.
 
     The documents are taken in as ``batches`` ranges of ids in ascending order,
     so the document that keeps a key's lines is the smallest that holds it.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "line-runs")
-    ends = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    low, high = (ends["a"], ends["b"]) if ends["a"] is not None else (0, 0)
-    width = max(1, -(-(high - low + 1) // batches))
-    key = F.explode(F.transform(lines_of(F.col("text")), line_key)).alias("key")
+    keys = F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("line", "key")
     lines = (
         docs.where("doc_id is not null")
-        .select(F.col("doc_id").cast("long").alias("doc_id"), key)
+        .select(F.col("doc_id").cast("long").alias("doc_id"), version(F.col("text")).alias("version"), "text")
+        .select("doc_id", "version", keys)
         .where(F.length("key") >= min_chars)
-        .select(*hashed(F.col("key")), "doc_id", F.expr(f"cast((doc_id - {low}L) div {width}L as int)").alias("batch"))
+        .select(*hashed(F.col("key")), "doc_id", "version", "line", ranges(docs, batches).alias("batch"))
     )
-    lines = scratch.keep(lines.distinct(), "lines")
+    lines = scratch.keep(lines, "lines")
     index = LineRuns(spark, fanout, scratch)
     gone = None
     for k in range(batches):
         part = index.add(lines.where(F.col("batch") == k).drop("batch"))
         gone = part if gone is None else gone.unionByName(part)
-    return gone.groupBy("doc_id").agg(F.collect_set("h1").alias("gone"))
+    scratch.drop(*index.runs())
+    return gone.groupBy("doc_id", "version").agg(F.collect_set("line").alias("gone"))
+
+
+def version(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -131,23 +145,26 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     Other columns stay as they are.
     """
     gone = duplicate_lines(docs.select("doc_id", "text"), min_chars, batches, fanout)
-    gone = gone.select(F.col("doc_id").alias("_kw_id"), F.col("gone").alias("_kw_gone"))
-    both = docs.join(gone, F.col("doc_id").cast("long") == F.col("_kw_id"), "left")
+    gone = gone.select(F.col("doc_id").alias("_kw_id"), F.col("version").alias("_kw_version"), F.col("gone").alias("_kw_gone"))
+    both = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_kw_id")) & (version(F.col("text")) == F.col("_kw_version")), "left")
     lines = lines_of(F.col("text"))
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("_kw_gone"), hashed(key)[0])
-
-    kept = F.when(F.col("_kw_gone").isNull(), lines).otherwise(F.filter(lines, stays))
-    both = both.withColumn("_kw_lines", F.size(lines)).withColumn("_kw_kept", kept)
+    both = both.withColumn("_kw_lines", F.size(lines))
+    # Numbers of the lines that stay, found by hashing: in proportion to the lines, however many go.
+    stay = F.array_except(F.sequence(F.lit(0), F.col("_kw_lines") - 1), F.col("_kw_gone"))
+    text = F.when(F.col("_kw_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(_taken(lines, stay))
     return both.select(
-        *[F.array_join("_kw_kept", "\n").alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
         F.col("_kw_lines").cast("long").alias("n_lines"),
-        (F.col("_kw_lines") - F.size("_kw_kept")).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("_kw_gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
+def _taken(lines: Column, numbers: Column) -> Column:
+    """Chosen lines, joined; the lines are split once."""
+    both = F.array(F.struct(lines.alias("lines"), numbers.alias("numbers")))
+    return F.transform(both, lambda b: F.array_join(F.transform(b["numbers"], lambda k: F.get(b["lines"], k)), "\n"))[0]
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
