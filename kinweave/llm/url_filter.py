@@ -5,30 +5,46 @@ The log becomes validity intervals ``[valid_from, valid_to)``, and an as-of join
 evaluates each capture against the entries that were active on its fetch day.
 
 Patterns are domains (``example.org`` or ``org``, which hold for subdomains too) or a
-host and the first segment of the path (``example.org/news``). Of the active
-entries the longest pattern decides; at equal length the list ``allow`` wins.
+host and the first segment of the path (``example.org/news``); an address in
+brackets (``[2001:db8::1]``) is one host. Entries and captures are compared without
+case, blanks around them and dots at the end of a host. Of the active entries
+the longest pattern decides; at equal length the list ``allow`` wins.
 
 The verdict hangs on host, first segment and day alone, so these are made
 distinct before the join: a host with a third of all captures costs one row a
-segment and day. The join back to the captures is one that Spark can split.
+segment and day. Intervals and verdicts are written and counted; up to
+``MAX_BROADCAST`` rows of them are broadcast, more are joined by a shuffle that
+Spark can split.
 
 Defined cases: a URL that is null or has no host is ``malformed``; a null fetch
 day has no active entries; several entries of one pattern, list and day: a
-removal wins; entries with a null pattern, list or day are ignored; repeated
+removal wins; entries with a null or empty pattern, or a null list or day, are ignored; repeated
 captures keep their rows; other columns pass through unless they have the name
 of an output column, which is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-_HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+_HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[]+)"
 _SEGMENT = r"^[a-z][a-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 VERDICT = ["host", "verdict", "pattern", "listed_from"]
+#: Intervals or verdicts (of about 100 bytes) that are broadcast at most.
+MAX_BROADCAST = 100_000
+
+
+def normal(pattern: Column) -> Column:
+    """A pattern in lower case, without blanks around it and dots at the end of its host."""
+    return F.regexp_replace(F.lower(F.trim(pattern)), r"\.+(?=/|$)", "")
+
+
+def _sized(table: DataFrame) -> DataFrame:
+    """A written table with the hint that its number of rows allows."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table.hint("merge")
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -36,13 +52,14 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     Only the days on which a pattern's state changes begin or end an interval.
     """
-    daily = entries.where("pattern is not null and list is not null and day is not null").groupBy("pattern", "list", "day").agg(F.min(F.coalesce("active", F.lit(False))).alias("active"))
+    known = entries.where("pattern is not null and list is not null and day is not null").withColumn("pattern", normal(F.col("pattern"))).where("pattern <> ''")
+    daily = known.groupBy("pattern", "list", "day").agg(F.min(F.coalesce("active", F.lit(False))).alias("active"))
     order = Window.partitionBy("pattern", "list").orderBy("day")
     changed = daily.withColumn("was", F.coalesce(F.lag("active").over(order), F.lit(False))).where("active <> was")
     return (
         changed.withColumn("valid_to", F.lead("day").over(order))
         .where("active")
-        .select(F.lower("pattern").alias("pattern"), "list", F.col("day").alias("valid_from"), "valid_to")
+        .select("pattern", "list", F.col("day").alias("valid_from"), "valid_to")
     )
 
 
@@ -57,16 +74,17 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
         F.regexp_extract(F.coalesce(url, F.lit("")), _SEGMENT, 1).alias("_kw_segment"),
     )
     asked = base.where("host is not null and fetched_on is not null").select("host", "_kw_segment", "fetched_on").distinct()
-    labels = F.split("host", r"\.")
+    scratch = Scratch(captures.sparkSession, "url-filter")
+    labels = F.when(F.col("host").startswith("["), F.array("host")).otherwise(F.split("host", r"\."))
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     paths = F.when(F.col("_kw_segment") != "", F.array(F.concat_ws("/", "host", "_kw_segment"))).otherwise(F.expr("cast(array() as array<string>)"))
     spread = asked.select("host", "_kw_segment", "fetched_on", F.explode(F.concat(tails, paths)).alias("pattern"))
-    active = spread.join(intervals(entries), "pattern").where("valid_from <= fetched_on and (valid_to is null or fetched_on < valid_to)")
+    active = spread.join(_sized(scratch.keep(intervals(entries), "intervals")), "pattern").where("valid_from <= fetched_on and (valid_to is null or fetched_on < valid_to)")
     rank = F.struct(F.length("pattern"), (F.col("list") == "allow").cast("int"), F.col("list"), "pattern", "valid_from")
     decided = active.groupBy("host", "_kw_segment", "fetched_on").agg(F.max(rank).alias("_kw_best"))
     # Written, so that both sides of the join back are shuffled by it alone and a hot key can be split.
-    decided = Scratch(captures.sparkSession, "url-filter").keep(decided, "decided")
-    joined = base.join(decided, ["host", "_kw_segment", "fetched_on"], "left")
+    decided = scratch.keep(decided, "decided")
+    joined = base.join(_sized(decided), ["host", "_kw_segment", "fetched_on"], "left")
     verdict = F.when(F.col("host").isNull(), "malformed").otherwise(F.coalesce(F.col("_kw_best.list"), F.lit("unlisted")))
     return joined.select(
         *rest, "host", verdict.alias("verdict"), F.col("_kw_best.pattern").alias("pattern"), F.col("_kw_best.valid_from").alias("listed_from")
