@@ -7,6 +7,7 @@ blocks, and each pair of blocks is a task of its own.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,76 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     )
 
 
+@dataclass
+class Linked:
+    """What a similarity join found, in written tables.
+
+    ``rows (id, k1, k2)``: each distinct pair of an id and a content, the latter
+    as two hashes; ``nodes (k1, k2, node, low, copies)``: each content, its
+    smallest id and its number of ids; ``links (node, links, peer)``: parts of a
+    node's links, counted in ids, and edges of a spanning forest.
+    """
+
+    rows: DataFrame
+    nodes: DataFrame
+    links: DataFrame
+    scratch: Scratch
+
+    def several(self) -> DataFrame | None:
+        """``(id)`` of the ids with more than one content; None if there are none, which is the rule."""
+        ends = self.rows.groupBy("id").agg(*[f(k).alias(f"{f.__name__}{k}") for f in (F.min, F.max) for k in ("k1", "k2")])
+        found = self.scratch.keep(ends.where("mink1 <> maxk1 or mink2 <> maxk2").select("id"), "several")
+        return None if found.isEmpty() else found
+
+    def classes(self, lowest: list[str], more: DataFrame | None = None) -> DataFrame:
+        """``(node, *lowest)``: for each linked node, the least values of these columns of ``nodes`` in its component; ``more (u, v)`` are further edges."""
+        edges = self.links.select(F.col("node").alias("u"), F.col("peer").alias("v"))
+        joined = components(edges if more is None else edges.union(more), self.scratch)
+        joined = self.scratch.keep(joined, "joined")
+        first = F.col(lowest[0]) if len(lowest) == 1 else F.struct(*lowest)
+        least = joined.join(self.nodes.select("node", *lowest), "node").groupBy("component").agg(F.min(first).alias("_least"))
+        least = least.select("component", *([F.col("_least").alias(lowest[0])] if len(lowest) == 1 else [f"_least.{c}" for c in lowest]))
+        # Written, so that a component with a share of all nodes is dealt out by a join that Spark can split.
+        return self.scratch.keep(joined.join(self.scratch.keep(least, "least"), "component").select("node", *lowest), "classes")
+
+    def by_id(self) -> DataFrame:
+        """``(id, class_id, copy_of, n_links)``: one row an id that has a copy or a link.
+
+        An id's contents are one document: its links are all of theirs, and its
+        class is the least id reachable from any of them.
+        """
+        several = self.several()
+        more = None
+        if several is not None:
+            own = self.rows.join(several, "id").join(self.nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node")
+            own = self.scratch.keep(own, "own")
+            more = own.join(own.groupBy("id").agg(F.min("node").alias("v")), "id").select(F.col("node").alias("u"), "v")
+        classes = self.classes(["low"], more).select("node", F.col("low").alias("class_id"))
+        counted = self.links.groupBy("node").agg(F.sum("links").alias("links"))
+        state = self.nodes.join(counted, "node", "left").join(classes, "node", "left").where("copies > 1 or links is not null or class_id is not null")
+        state = state.select(
+            "k1", "k2", F.col("low").alias("copy_of"), F.coalesce("class_id", "low").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
+        )
+        found = self.rows.join(state, ["k1", "k2"]).select("id", "class_id", "copy_of", "n_links")
+        if several is None:
+            return found
+        return found.groupBy("id").agg(F.min("class_id").alias("class_id"), F.min("copy_of").alias("copy_of"), F.sum("n_links").alias("n_links"))
+
+    def surplus(self) -> DataFrame:
+        """``(id, k1, k2)`` of all rows but one of each class: the one of the least id, and of the least content on ties."""
+        least = self.nodes.withColumn("c1", F.col("k1")).withColumn("c2", F.col("k2"))
+        classes = Linked(self.rows, least, self.links, self.scratch).classes(["low", "c1", "c2"])
+        state = self.nodes.withColumnRenamed("low", "own").join(classes, "node", "left").where("copies > 1 or low is not null")
+        state = state.select("k1", "k2", F.coalesce("low", "own").alias("low"), F.coalesce("c1", "k1").alias("c1"), F.coalesce("c2", "k2").alias("c2"))
+        return self.rows.join(state, ["k1", "k2"]).where("id <> low or k1 <> c1 or k2 <> c2").select("id", "k1", "k2")
+
+
+def numbered_contents(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(k1, k2, node, low, copies)`` of ``rows (id, k1, k2)``, written with a number for each content."""
+    held = rows.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.count_distinct("id").alias("copies"))
+    return scratch.keep(held.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
 def dealt(df: DataFrame, key: str, row: str, blocks: Column) -> DataFrame:
     """Deal each group ``key`` into ``blocks`` blocks by the hash of ``row``, one copy of a row for each partner block.
 
@@ -120,9 +191,12 @@ def in_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Reco
 
 def labelled(near: np.ndarray) -> np.ndarray:
     """The smallest index reachable over a symmetric boolean matrix, for each index."""
-    n = len(near)
+    return reached(len(near), *np.nonzero(near))
+
+
+def reached(n: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """The smallest index reachable over edges that are given both ways, for each of ``n``."""
     label = np.arange(n)
-    rows, cols = np.nonzero(near)
     while len(rows):
         new = label.copy()
         np.minimum.at(new, rows, label[cols])

@@ -16,11 +16,15 @@
 
 A pair at the threshold is missed only if no band agrees (``RECALL``).
 
+What is linked are texts, whatever their ids; ids come in at the end. So an id
+with several texts loses none of them: it has the links of all its texts, and
+where one document of each class is kept, rows go, not ids.
+
 Defined cases: texts with fewer than five words but at least one have one gram,
 all their words; texts without words, null ones too, are copies of each other
-and link with no other text; null ids link with nothing; a repeated id is one document
-(of several texts that of the smallest key counts); an empty table gives an
-empty table; other columns are not looked at.
+and link with no other text; null ids link with nothing; a repeated row is one
+document, and so are the texts of one id (links among them count too); an empty
+table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .links import across, components, dealt, in_groups, labelled
+from .links import Linked, across, components, dealt, in_groups, labelled, numbered_contents
 from .shared import Scratch
 from .text import gram_hashes, mix, slices, words_of
 
@@ -131,7 +136,7 @@ def _agreeing(table: pa.Table, least: int) -> pa.RecordBatch | None:
     n = len(table)
     if n < 2:
         return None
-    ids, own = table.column("doc_id").to_numpy(), table.column("own").to_numpy()
+    ids, own = table.column("node").to_numpy(), table.column("own").to_numpy()
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(n, -1)
     if n == 2:
         if ids[0] == ids[1] or np.count_nonzero(sig[0] == sig[1]) < least:
@@ -151,12 +156,12 @@ def _agreeing(table: pa.Table, least: int) -> pa.RecordBatch | None:
 
 def _verified(table: pa.Table, threshold: float) -> pa.RecordBatch | None:
     """Links of a block pair of a group by the full sets: for each row its links, and a forest edge."""
-    _, rows = np.unique(table.column("doc_id").to_numpy(), return_index=True)  # a row repeated in the input is one document
+    _, rows = np.unique(table.column("node").to_numpy(), return_index=True)  # a row repeated in the input is one document
     table = table.take(rows)
     n = len(table)
     if n < 2:
         return None
-    ids, own = table.column("doc_id").to_numpy(), table.column("own").to_numpy()
+    ids, own = table.column("node").to_numpy(), table.column("own").to_numpy()
     copies = table.column("copies").to_numpy()
     sets = [np.frombuffer(x, np.int64) for x in table.column("set").to_pylist()]
     sizes = np.array([len(s) for s in sets])
@@ -188,11 +193,11 @@ def _verified(table: pa.Table, threshold: float) -> pa.RecordBatch | None:
     links = near @ copies
     label = labelled(near)
     keep = np.flatnonzero(links)
-    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep].astype(np.int64)), pa.array(ids[label[keep]])], ["doc_id", "links", "peer"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep].astype(np.int64)), pa.array(ids[label[keep]])], ["node", "links", "peer"])
 
 
 def _gram_sets(members: DataFrame, n: int) -> DataFrame:
-    """``members (doc_id, gid, copies, k1, k2, text)`` with the sorted distinct gram hashes of each whose words have these keys."""
+    """``members (node, gid, copies, k1, k2, text)`` with the sorted distinct gram hashes of each whose words have these keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,86 +209,95 @@ def _gram_sets(members: DataFrame, n: int) -> DataFrame:
                 rows = [r for r in range(part.num_rows) if np.array_equal(sequence_keys(words.hashes[words.at[r] : words.at[r + 1]]), keys[r])]
                 sets = [np.unique(grams[at[r] : at[r + 1]].view(np.int64)) for r in rows]
                 taken = [part.column(k).take(pa.array(rows, pa.int64())) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*taken, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "gid", "copies", "set"])
-
-    return members.select("doc_id", "gid", "copies", "k1", "k2", "text").mapInArrow(run, "doc_id long, gid long, copies long, set binary")
-
+                yield pa.RecordBatch.from_arrays([*taken, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "gid", "copies", "set"])
 
-def _one_text_each(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of an id with several texts, one: that of the smallest keys."""
-    several = signed.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("k1").alias("low")).where("n > 1")
-    several = scratch.keep(several, "several")
-    if several.isEmpty():
-        return signed
-    several = several.select(F.col("doc_id").alias("id"), "low")
-    one = signed.join(several, F.col("doc_id") == F.col("id"), "left").where("id is null or k1 = low")
-    return scratch.keep(one.drop("id", "low").dropDuplicates(["doc_id"]), "signed")
+    return members.select("node", "gid", "copies", "k1", "k2", "text").mapInArrow(run, "node long, gid long, copies long, set binary")
 
 
-def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``(doc_id, class_id, copy_of, n_links)`` of each document that has a copy or a link.
-
-    ``copy_of`` is the smallest document with the same words in the same order;
-    ``class_id`` the smallest document reachable by copies and links;
-    ``n_links`` the number of other documents with Jaccard similarity of at
-    least ``threshold``, copies included.
-    """
-    spark = docs.sparkSession
+def linked_texts(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> Linked:
+    """The links of Jaccard similarity of at least ``threshold`` among the texts of ``docs (doc_id, text)``."""
     bands, rows = choose_bands(threshold, recall)
-    scratch = Scratch(spark, "ngram-join")
-    signed = _one_text_each(scratch.keep(signatures(docs, bands, rows, n), "signed"), scratch)
-    copies = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"))
-    copies = scratch.keep(copies, "copies")
-    firsts = signed.join(copies.select("k1", "k2", F.col("copy_of").alias("doc_id"), "copies"), ["k1", "k2", "doc_id"])
-    firsts = scratch.keep(firsts.select("doc_id", "copies", "grams", "bands", "sig", "k1", "k2"), "firsts")
-
-    spread = firsts.where("grams > 0").select("doc_id", F.explode("bands").alias("bucket"))
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    signed = scratch.keep(signatures(docs, bands, rows, n), "signed")
+    keyed = signed.select(F.col("doc_id").alias("id"), "k1", "k2")
+    nodes = numbered_contents(keyed, scratch)
+    pairs = nodes.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    firsts = signed.join(nodes.select("k1", "k2", F.col("low").alias("doc_id"), "node", "copies"), ["k1", "k2", "doc_id"])
+    if pairs < signed.count():
+        keyed = scratch.keep(keyed.distinct(), "rows")
+        firsts = firsts.dropDuplicates(["k1", "k2", "doc_id"])
+    firsts = scratch.keep(firsts.select("node", "doc_id", "copies", "grams", "bands", "sig", "k1", "k2"), "firsts")
+
+    spread = firsts.where("grams > 0").select("node", F.explode("bands").alias("bucket"))
     buckets = spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    inside = spread.join(buckets, "bucket").join(firsts.select("doc_id", "sig"), "doc_id")
-    inside = dealt(inside, "bucket", "doc_id", F.ceil(F.col("members") / BLOCK_ROWS))
+    inside = spread.join(buckets, "bucket").join(firsts.select("node", "sig"), "node")
+    inside = dealt(inside, "bucket", "node", F.ceil(F.col("members") / BLOCK_ROWS))
     least = least_agreement(bands * rows, threshold)
-    inside = inside.select("bucket", "bi", "bj", "own", "doc_id", "sig")
+    inside = inside.select("bucket", "bi", "bj", "own", "node", "sig")
     edges = in_groups(inside, ["bucket", "bi", "bj"], lambda t: _agreeing(t, least), "u long, v long")
     groups = components(edges, scratch)
 
-    groups = groups.join(firsts.select(F.col("doc_id").alias("node"), "copies", "grams", "k1", "k2"), "node")
-    groups = scratch.keep(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("gid"), "copies", "grams", "k1", "k2"), "groups")
+    groups = groups.join(firsts.select("node", "doc_id", "copies", "grams", "k1", "k2"), "node").withColumnRenamed("component", "gid")
+    groups = scratch.keep(groups, "groups")
     sizes = groups.groupBy("gid").agg(F.sum("grams").alias("all_grams"), F.count("*").alias("all_rows"))
     # Members can be a share of all documents: texts are shuffled once at every size.
-    chosen = groups.select("doc_id", "gid", "copies", "k1", "k2").hint("merge")
+    chosen = groups.select("node", "doc_id", "gid", "copies", "k1", "k2").hint("merge")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
     members = _gram_sets(texts, n).join(sizes, "gid")
     blocks = F.greatest(F.ceil(F.col("all_grams") / BLOCK_GRAMS), F.ceil(F.col("all_rows") / BLOCK_ROWS))
-    members = dealt(members, "gid", "doc_id", blocks).select("gid", "bi", "bj", "own", "doc_id", "copies", "set")
-    verified = in_groups(members, ["gid", "bi", "bj"], lambda t: _verified(t, threshold), "doc_id long, links long, peer long")
-    verified = scratch.keep(verified, "verified")
-    linked = components(verified.select(F.col("doc_id").alias("u"), F.col("peer").alias("v")), scratch)
-    links = verified.groupBy("doc_id").agg(F.sum("links").alias("links"))
-
-    state = copies.join(links, copies["copy_of"] == links["doc_id"], "left").drop("doc_id").join(linked, F.col("copy_of") == F.col("node"), "left")
-    state = state.where("copies > 1 or links is not null").select(
-        "k1",
-        "k2",
-        "copy_of",
-        F.coalesce("component", "copy_of").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-    )
-    return signed.select("doc_id", "k1", "k2").join(state, ["k1", "k2"]).select("doc_id", "class_id", "copy_of", "n_links")
+    members = dealt(members, "gid", "node", blocks).select("gid", "bi", "bj", "own", "node", "copies", "set")
+    links = in_groups(members, ["gid", "bi", "bj"], lambda t: _verified(t, threshold), "node long, links long, peer long")
+    return Linked(keyed, nodes, scratch.keep(links, "links"), scratch)
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
-    """One row a document id: ``(doc_id, class_id, copy_of, n_links)``; alone, a document is its own class."""
-    found = near_classes(docs.select("doc_id", "text"))
+    """One row a document id: ``(doc_id, class_id, copy_of, n_links)``; alone, a document is its own class.
+
+    ``copy_of`` is the smallest document with the same words in the same order;
+    ``class_id`` the smallest document reachable by copies and links;
+    ``n_links`` the number of other documents with a Jaccard similarity of at
+    least the threshold, copies included.
+    """
+    found = linked_texts(docs.select("doc_id", "text")).by_id().withColumnRenamed("id", "doc_id")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     return ids.join(found, "doc_id", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_kw_k1`` and ``_kw_k2``, the keys of their texts."""
+    at, names = docs.columns.index("text"), [*docs.columns, "_kw_k1", "_kw_k2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in slices(batch.column(at)):
+                part = batch.slice(begin, end - begin)
+                words = words_of(part.column(at))
+                keys = np.array([sequence_keys(words.hashes[words.at[r] : words.at[r + 1]]) for r in range(part.num_rows)]).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys[:, 0]), pa.array(keys[:, 1])], names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_kw_k1", LongType()), StructField("_kw_k2", LongType())]))
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the smallest id."""
-    near = near_classes(docs.select("doc_id", "text")).where("doc_id <> class_id").select(F.col("doc_id").alias("_kw_id"))
-    return docs.join(near, docs["doc_id"].cast("long") == F.col("_kw_id"), "left_anti")
+    """``docs`` with one document of each class: that of the smallest id.
+
+    Rows go, not ids: of an id with several texts those stay that are the first
+    of their class. Repeated rows stay or go together.
+    """
+    linked = linked_texts(docs.select("doc_id", "text"))
+    gone = linked.surplus().select(F.col("id").alias("_kw_id"), F.col("k1").alias("_kw_g1"), F.col("k2").alias("_kw_g2"))
+    own = docs["doc_id"].cast("long")
+    several = linked.several()
+    if several is None:
+        return docs.join(gone, own == F.col("_kw_id"), "left_anti")
+    gone = linked.scratch.keep(gone, "gone")
+    several = several.withColumnRenamed("id", "_kw_several")
+    plain = docs.join(several, own == F.col("_kw_several"), "left_anti").join(gone, F.col("doc_id").cast("long") == F.col("_kw_id"), "left_anti")
+    odd = _keyed(docs.join(several, own == F.col("_kw_several"), "left_semi"))
+    same = (F.col("doc_id").cast("long") == F.col("_kw_id")) & (F.col("_kw_k1") == F.col("_kw_g1")) & (F.col("_kw_k2") == F.col("_kw_g2"))
+    return plain.unionByName(odd.join(gone, same, "left_anti").drop("_kw_k1", "_kw_k2"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
