@@ -13,15 +13,19 @@ vector falls into ``FILTERS`` filters on average. Caps hold about ``CAP_ROWS``
 chance vectors each, so codebooks grow with the number of vectors. Of pairs at
 the threshold, in 64 dimensions, 99.7 % share a filter; closer ones nearly all.
 
-Inside a filter the members are compared by matrix products, large filters
-block by block; a pair counts in the smallest filter both fall into, so links
-are counted exactly once and no pair leaves a task: only counts and forests.
+What goes to a filter is a number and ``BITS`` signs of random projections, no
+vector. Members whose signs may be those of a link are joined to a group, and
+only a spanning forest leaves a task. Inside a group all vectors are compared in
+double precision by matrix products, large groups block by block; so a vector
+travels once for each pair of blocks, a pair is counted once, and no pair leaves
+a task: only counts and forests. Equal vectors are one, with its number of ids.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite
 components links with nothing; vectors of different lengths link with none of
 another length; a null id links with nothing and has a null component and
-``kept``; a repeated id is one vector (the smallest of its arrays); an empty
-table gives an empty table; other columns are not looked at.
+``kept``; a repeated row is one vector; the vectors of one id are all compared,
+their links are the id's (those among them too); an empty table gives an empty
+table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,14 +38,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
-from .links import across, components, dealt, in_groups, labelled
+from .links import Linked, across, components, dealt, grouped, in_groups, labelled, numbered_contents, reached
 from .shared import Scratch
 
 COSINE = 0.95
 PARTS, CODES, FILTERS, CAP_ROWS = 2, 10, 3, 16
-#: Vectors of a block of a filter, and filters that are compared at once.
-BLOCK_ROWS, BLOCK_COLUMNS = 512, 512
+#: Vectors of a block of a filter or a group, members up to which filters are compared together, and rows that are.
+BLOCK_ROWS, SMALL, TOGETHER = 512, 48, 20_000
+#: Signs of random projections by which members of a filter are compared first.
+BITS = 128
 
 
 @dataclass(frozen=True)
@@ -109,99 +116,173 @@ def decode_all(codes: list[Caps], vectors: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate([r for r, _ in found]), np.concatenate([c * len(codes) + k for k, (_, c) in enumerate(found)])
 
 
-def _directions(table: pa.Table) -> np.ndarray:
-    x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(table), -1)
-    return x
-
-
-def _linked(table: pa.Table, cosine: float) -> pa.RecordBatch | None:
-    """Links of a block pair of a filter whose smallest common filter it is: counts, and a forest."""
-    n = len(table)
-    if n < 2:
+def most_different(cosine: float, bits: int = BITS) -> int:
+    """Differing signs over which a pair at the threshold is six deviations off."""
+    p = math.acos(cosine) / math.pi
+    return math.ceil(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
+
+
+def signs(vectors: np.ndarray, seed: int = 23) -> np.ndarray:
+    """``BITS`` signs of random projections of each vector, as two longs."""
+    turned = vectors @ np.random.default_rng((seed, vectors.shape[1])).standard_normal((vectors.shape[1], BITS)) > 0
+    return np.packbits(turned, axis=1).view(np.uint64)
+
+
+def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16) <= most
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Forests of the members of each filter (a block pair of it) that may be linked; the rows come sorted by filter."""
+    held: list[pa.Table] = []
+
+    def forest(small: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many small filters at once: rows at a distance d are compared where they are of one filter."""
+        cap, node = small.column("cap").to_numpy(), small.column("node").to_numpy()
+        sig = np.column_stack([small.column(c).to_numpy() for c in ("s1", "s2")]).view(np.uint64)
+        first, second = [], []
+        at = np.arange(len(cap) - 1)
+        for d in range(1, SMALL):
+            at = at[at + d < len(cap)]
+            at = at[cap[at] == cap[at + d]]
+            if not len(at):
+                break
+            hit = at[_close(sig[at], sig[at + d], most)]
+            first.append(hit)
+            second.append(hit + d)
+        if not first:
+            return node[:0], node[:0]
+        i, j = np.concatenate(first), np.concatenate(second)
+        label = reached(len(cap), np.concatenate([i, j]), np.concatenate([j, i]))
+        other = np.flatnonzero(label != np.arange(len(cap)))
+        return node[other], node[label[other]]
+
+    def large(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        sig = np.column_stack([table.column(c).to_numpy() for c in ("s1", "s2")]).view(np.uint64)
+        near = _close(sig[:, None, :], sig[None, :, :], most)
+        if across(table):
+            own = table.column("own").to_numpy()
+            near &= own[:, None] != own[None, :]
+        node, label = table.column("node").to_numpy(), labelled(near)
+        other = np.flatnonzero(label != np.arange(len(node)))
+        return node[other], node[label[other]]
+
+    def out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        # Vectors that are near share many filters; their edge leaves a batch once.
+        edges = np.unique(np.column_stack([np.maximum(u, v), np.minimum(u, v)]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
+
+    rows = 0
+    for table in grouped(batches, ["cap", "bi", "bj"]):
+        if len(table) < 2:
+            continue
+        if len(table) > SMALL or table.column("bj")[0].as_py():
+            yield out(*large(table))
+            continue
+        held.append(table)
+        rows += len(table)
+        if rows >= TOGETHER:
+            yield out(*forest(pa.concat_tables(held)))
+            held, rows = [], 0
+    if held:
+        yield out(*forest(pa.concat_tables(held)))
+
+
+def units(column: pa.ListArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the vectors of a column, and their components in a row; each vector is divided by its norm."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    begins = np.cumsum(sizes) - sizes
+    top = np.maximum.reduceat(np.abs(flat), begins) if len(begins) else flat
+    flat = flat / np.repeat(top, sizes)
+    norm = np.sqrt(np.add.reduceat(flat * flat, begins)) if len(begins) else flat
+    return sizes, flat / np.repeat(norm, sizes)
+
+
+def _verified(table: pa.Table, cosine: float) -> pa.RecordBatch | None:
+    """Links of a block pair of a group, in double precision: for each vector its links, counted in ids, and a forest edge."""
+    node = table.column("node").to_numpy()
+    _, rows = np.unique(node, return_index=True)  # a row repeated in the input is one vector
+    if len(rows) < 2:
         return None
-    ids, own = table.column("vec_id").to_numpy(), table.column("own").to_numpy()
-    here = table.column("cap")[0].as_py()
-    x = _directions(table)
+    table = table.take(rows)
+    node, own, copies = (table.column(c).to_numpy() for c in ("node", "own", "copies"))
+    x = units(table.column("embedding").combine_chunks())[1].reshape(len(node), -1)
     near = x @ x.T >= cosine
     np.fill_diagonal(near, False)
     if across(table):
         near &= own[:, None] != own[None, :]
-    if not near.any():
-        return None
-    label = labelled(near)
-    lists = [np.frombuffer(b, np.int64) for b in table.column("caps").to_pylist()]
-    sizes = [len(c) for c in lists]
-    codes, row = np.concatenate(lists), np.repeat(np.arange(n), sizes)
-    smaller = codes < here
-    _, place, count = np.unique(codes[smaller], return_inverse=True, return_counts=True)
-    shared = count[place] > 1
-    row, place = row[smaller][shared], (np.cumsum(count > 1) - 1)[place[shared]]
-    order = np.argsort(place, kind="stable")
-    row, place = row[order], place[order]
-    for begin in range(0, int(place[-1]) + 1 if len(place) else 0, BLOCK_COLUMNS):
-        lo, hi = np.searchsorted(place, [begin, begin + BLOCK_COLUMNS])
-        inside = np.zeros((n, BLOCK_COLUMNS), np.float32)
-        inside[row[lo:hi], place[lo:hi] - begin] = 1
-        near &= inside @ inside.T < 0.5
-    links = near.sum(axis=1)
-    keep = np.flatnonzero((links > 0) | (label != np.arange(n)))
-    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep].astype(np.int64)), pa.array(ids[label[keep]])], ["vec_id", "links", "peer"])
-
-
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, parts: int = PARTS, codes: int = CODES, filters: int = FILTERS, cap_rows: int = CAP_ROWS) -> DataFrame:
-    """``(vec_id, n_links, component_id)`` of the vectors that have links."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "near-vectors")
-    good = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    good = good.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    shapes = good.groupBy(F.size("embedding").alias("dim")).count().where("dim > 0").collect()
+    links, label = near @ copies, labelled(near)
+    keep = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(links[keep].astype(np.int64)), pa.array(node[label[keep]])], ["node", "links", "peer"])
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """``(id, k1, k2, embedding)`` of the vectors that can be linked, each with two hashes of its components."""
+    kind = vectors.schema["embedding"].dataType.elementType
+    whole = F.col("embedding") if isinstance(kind, (FloatType, DoubleType)) else F.col("embedding").cast("array<double>")
+    good = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("id"), whole.alias("embedding"))
+    finite = F.forall("embedding", lambda c: c.isNotNull() & (F.abs(c) < F.lit(float("inf"))))
+    good = good.where(F.size("embedding") > 0).where(finite).where(F.exists("embedding", lambda c: c != 0))
+    return good.select("id", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(0x5EED), "embedding").alias("k2"), "embedding")
+
+
+def linked_vectors(vectors: DataFrame, cosine: float = COSINE, parts: int = PARTS, codes: int = CODES, filters: int = FILTERS, cap_rows: int = CAP_ROWS) -> Linked:
+    """The links of a cosine of at least ``cosine`` among the vectors of ``vectors (vec_id, embedding)``."""
+    scratch = Scratch(vectors.sparkSession, "near-vectors")
+    good = usable(vectors)
+    rows = good.select("id", "k1", "k2")
+    nodes = numbered_contents(rows, scratch)
+    shapes = good.groupBy(F.size("embedding").alias("dim")).count().collect()
     plans = {r["dim"]: plan_caps(r["dim"], r["count"], cosine, parts, codes, filters, cap_rows) for r in shapes}
+    if (nodes.agg(F.sum("copies").alias("n")).first()["n"] or 0) < sum(r["count"] for r in shapes):
+        rows = scratch.keep(rows.distinct(), "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            sizes = np.diff(column.offsets.to_numpy())
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-            begins = np.concatenate([[0], np.cumsum(sizes)])
+            if not batch.num_rows:
+                continue
+            sizes, flat = units(batch.column(1))
+            begins = np.cumsum(sizes) - sizes
             for dim, caps in plans.items():
-                rows = np.flatnonzero(sizes == dim)
-                if not len(rows):
+                here = np.flatnonzero(sizes == dim)
+                if not len(here):
                     continue
-                x = flat[begins[rows][:, None] + np.arange(dim)[None, :]]
-                top = np.abs(x).max(axis=1)
-                fine = np.isfinite(top) & (top > 0)
-                rows, x = rows[fine], x[fine] / top[fine][:, None]
-                x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                x = flat[begins[here][:, None] + np.arange(dim)[None, :]]
                 at, own = decode_all(caps, x)
-                if not len(at):
-                    continue
                 # Filters of another length of vector are others.
                 own = own * 65536 + dim % 65536
-                order = np.lexsort([own, at])
-                at, own = at[order], own[order]
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                lists = np.split(own, first[1:])
-                have = at[first]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(rows[have])),
-                        pa.array([x[h].tobytes() for h in have], pa.binary()),
-                        pa.array([c.tobytes() for c in lists], pa.binary()),
-                        pa.array([c.tolist() for c in lists], pa.list_(pa.int64())),
-                    ],
-                    ["vec_id", "unit", "caps", "each"],
-                )
-
-    decoded = scratch.keep(good.mapInArrow(run, "vec_id long, unit binary, caps binary, each array<long>"), "decoded")
-    spread = decoded.select("vec_id", F.explode("each").alias("cap"))
-    counts = spread.groupBy("cap").agg(F.count("*").alias("members")).where("members > 1")
-    inside = spread.join(counts, "cap").join(decoded.select("vec_id", "unit", "caps"), "vec_id")
-    inside = dealt(inside, "cap", "vec_id", F.ceil(F.col("members") / BLOCK_ROWS)).select("cap", "bi", "bj", "own", "vec_id", "unit", "caps")
-    linked = scratch.keep(in_groups(inside, ["cap", "bi", "bj"], lambda t: _linked(t, cosine), "vec_id long, links long, peer long"), "linked")
-    scratch.drop(decoded)
-    joined = components(linked.select(F.col("vec_id").alias("u"), F.col("peer").alias("v")), scratch)
-    links = linked.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    return links.join(joined, links["vec_id"] == joined["node"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
+                order = np.argsort(at, kind="stable")
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(here)))]).astype(np.int32)), pa.array(own[order]))
+                sig = signs(x).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(here)), pa.array(sig[:, 0]), pa.array(sig[:, 1]), lists], ["node", "s1", "s2", "caps"])
+
+    # Where the content is another's copy, its smallest id stands for it.
+    firsts = good.join(nodes.select("k1", "k2", F.col("low").alias("id"), "node"), ["k1", "k2", "id"])
+    decoded = scratch.keep(firsts.select("node", "embedding").mapInArrow(run, "node long, s1 long, s2 long, caps array<long>"), "decoded")
+    spread = decoded.select(F.explode("caps").alias("cap"), "node", "s1", "s2")
+    counts = spread.groupBy("cap").agg(F.count("*").alias("members"))
+    # Filters of a chance size are whole blocks; only larger ones are dealt, so only those need their number of members.
+    heavy = scratch.keep(counts.where(F.col("members") > BLOCK_ROWS), "heavy")
+    inside = spread.join(heavy, "cap", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    inside = dealt(inside, "cap", "node", F.ceil(F.col("members") / BLOCK_ROWS)).select("cap", "bi", "bj", "own", "node", "s1", "s2")
+    most = most_different(cosine)
+    edges = inside.repartition("cap", "bi", "bj").sortWithinPartitions("cap", "bi", "bj").mapInArrow(lambda b: _candidates(b, most), "u long, v long")
+    groups = components(edges, scratch)
+
+    groups = groups.join(nodes, "node").select("node", F.col("component").alias("gid"), "copies", "k1", "k2", F.col("low").alias("id"))
+    groups = scratch.keep(groups, "groups")
+    sizes = groups.groupBy("gid").agg(F.count("*").alias("members"))
+    members = good.join(groups, ["k1", "k2", "id"]).join(sizes, "gid")
+    members = dealt(members, "gid", "node", F.ceil(F.col("members") / BLOCK_ROWS)).select("gid", "bi", "bj", "own", "node", "copies", "embedding")
+    links = in_groups(members, ["gid", "bi", "bj"], lambda t: _verified(t, cosine), "node long, links long, peer long")
+    return Linked(rows, nodes, scratch.keep(links, "links"), scratch)
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, parts: int = PARTS, codes: int = CODES, filters: int = FILTERS, cap_rows: int = CAP_ROWS) -> DataFrame:
+    """``(vec_id, n_links, component_id)`` of the vectors that have links."""
+    found = linked_vectors(vectors, cosine, parts, codes, filters, cap_rows).by_id()
+    return found.where("n_links > 0").select(F.col("id").alias("vec_id"), "n_links", F.col("class_id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
