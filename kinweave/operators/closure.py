@@ -99,8 +99,9 @@ def doubling(edges: DataFrame, max_rounds: int = 64) -> Closure:
     held = scratch.keep(_least(_prepared(edges)))
     state = _measure(held)
     if state[3] > 1:
+        scratch.drop(held)
         return squaring(edges)
-    reach, longest = 1, state[3]
+    reach, longest, parts = 1, state[3], [held]
     for _ in range(max_rounds):
         if longest < reach:
             break
@@ -112,6 +113,8 @@ def doubling(edges: DataFrame, max_rounds: int = 64) -> Closure:
         if not rows:
             break
         held, reach, longest = held.unionByName(fresh), 2 * reach, max(longest, most)
+        parts.append(fresh)
+    scratch.only(*parts)
     return Closure(held.select("i", "j", "v"), longest)
 
 
@@ -127,21 +130,29 @@ def semi_naive(edges: DataFrame, start: DataFrame | None = None, limit: int | No
     side = "j" if reverse else "i"
     delta = steps if start is None else steps.join(start.select(side).distinct(), side, "left_semi")
     held = fresh = scratch.keep(delta.where(bound))
-    _measure(held)
+    # Where every edge is one step, a path found later is longer and so never less: new rows are appended, none is written twice.
+    single = (steps.agg(F.max("g").alias("g")).first()["g"] or 1) == 1
+    longest, parts = _measure(held)[3], [held]
     while True:
         longer = _joined(steps, fresh) if reverse else _joined(fresh, steps)
         longer = _least(longer.where(bound))
         known = held.select(F.col("i").alias("hi"), F.col("j").alias("hj"), F.col("v").alias("hv"))
-        better = longer.join(known, (F.col("i") == F.col("hi")) & (F.col("j") == F.col("hj")), "left").where("hv is null or v < hv")
+        same = (F.col("i") == F.col("hi")) & (F.col("j") == F.col("hj"))
+        better = longer.join(known, same, "left_anti") if single else longer.join(known, same, "left").where("hv is null or v < hv")
         better = _guarded(lambda b=better: scratch.keep(b.select("i", "j", "v", "g"), "fresh"))
-        if _measure(better)[0] == 0:
+        rows, _, _, most = _measure(better)
+        if not rows:
             break
-        now = scratch.keep(_least(held.unionByName(better)))
-        if held is not fresh:
-            scratch.drop(fresh)
-        scratch.drop(held)
-        held, fresh = now, better
-    return Closure(held.select("i", "j", "v"), _measure(held)[3])
+        if single:
+            held, longest = held.unionByName(better), max(longest, most)
+            parts.append(better)
+        else:
+            held = scratch.keep(_least(held.unionByName(better)))
+            scratch.only(steps, held, better)
+            parts = [held]
+        fresh = better
+    scratch.only(*parts)
+    return Closure(held.select("i", "j", "v"), longest if single else _measure(held)[3])
 
 
 def levels(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
@@ -159,17 +170,20 @@ def levels(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     if loops:
         raise CycleError("Error: cycle detected!", loops["i"])
     waiting = scratch.keep(ids.distinct(), "waiting")
-    done, level = None, 0
+    done, level, peeled = None, 0, []
     while True:
         rest = pairs.select(F.col("i").alias("vertex_id")).distinct()
         ready = scratch.keep(waiting.join(rest, "vertex_id", "left_anti").withColumn("level", F.lit(level).cast("long")), "ready")
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
+        peeled.append(ready)
         waiting = scratch.keep(waiting.join(ready, "vertex_id", "left_anti"), "waiting")
         pairs = scratch.keep(pairs.join(ready.select(F.col("vertex_id").alias("j")), "j", "left_anti"), "edges")
         level += 1
+        scratch.only(waiting, pairs, *peeled)
     stuck = waiting.agg(F.min("vertex_id").alias("v")).first()["v"]
+    scratch.only(*peeled)
     if stuck is not None:
         raise CycleError("Error: cycle detected!", stuck)
     return done if done is not None else ids.selectExpr("vertex_id", "0L as level")
@@ -183,10 +197,14 @@ def levelwise(edges: DataFrame) -> Closure:
     most = depth.agg(F.max("level").alias("m")).first()["m"] or 0
     steps = scratch.keep(steps.join(depth.select(F.col("vertex_id").alias("i"), "level"), "i"), "edges")
     held = steps.where("level = 0").select("i", "j", "v", "g")
+    parts = []
     for level in range(1, most + 1):
         here = steps.where(F.col("level") == level).select("i", "j", "v", "g")
         made = _guarded(lambda h=here, d=held: scratch.keep(_least(h.unionByName(_joined(h, d))), f"level{level}"))
         held = made if level == 1 else held.unionByName(made)
+        parts.append(made)
+    # Without levels there is no path, and the edges are empty.
+    scratch.only(*(parts or [steps]))
     return Closure(held.select("i", "j", "v"), _measure(held)[3])
 
 
@@ -268,12 +286,14 @@ def weighted_paths(edges: DataFrame, sources: DataFrame | None = None, weight: s
         better = longer.join(known, (F.col("i") == F.col("hi")) & (F.col("j") == F.col("hj")), "left")
         better = scratch.keep(better.where("hd is null or d < hd or (d = hd and pred < hp)").select("i", "j", "d", "pred"), "fresh")
         if better.isEmpty():
+            scratch.only(held)
             return held
         rounds += 1
         if negative and rounds > most + 1:
             raise CycleError("Error: negative cycle detected!", better.agg(F.min("i").alias("i")).first()["i"])
         held = scratch.keep(held.unionByName(better).groupBy("i", "j").agg(F.min(F.struct("d", "pred")).alias("b")).select("i", "j", "b.d", "b.pred"))
         fresh = better
+        scratch.only(pairs, held, fresh)
 
 
 def predecessors(closure: DataFrame, edges: DataFrame) -> DataFrame:
@@ -296,14 +316,20 @@ def path_vertices(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     scratch = Scratch(edges.sparkSession, "walk")
     steps = edges.where("v in (2, 3)").select(F.col("i").alias("at"), F.col("j").alias("to"), (F.col("v") - 2).alias("bit"))
     walk = pairs.where("v >= 2").select("i", "j", "v", F.col("i").alias("at"), (msb("v") - 1).cast("int").alias("left"), F.array("i").alias("path"))
-    done = None
     walk = scratch.keep(walk, "walk")
+    done, last = None, walk
     for _ in range(MAX_GENERATIONS):
         moved = walk.withColumn("bit", F.expr("shiftright(v, left) & 1")).join(steps, ["at", "bit"])
-        moved = scratch.keep(moved.select("i", "j", "v", F.col("to").alias("at"), (F.col("left") - 1).alias("left"), F.concat("path", F.array("to")).alias("path")), "walk")
-        over = moved.where("left < 0 and at = j").select("i", "j", "v", "path")
+        moved = moved.select("i", "j", "v", F.col("to").alias("at"), (F.col("left") - 1).alias("left"), F.concat("path", F.array("to")).alias("path"))
+        moved = moved.where("left >= 0 or at = j").withColumn("over", F.col("left") < 0)
+        moved = scratch.keep(moved, "walk")
+        # Walks still open are read from here once more; what is over stays.
+        over = scratch.keep(moved.where("over").select("i", "j", "v", "path"), "over")
         done = over if done is None else done.unionByName(over)
-        walk = moved.where("left >= 0")
+        walk = moved.where("not over").drop("over")
+        scratch.drop(last)
+        last = moved
         if walk.isEmpty():
             break
+    scratch.drop(last)
     return done

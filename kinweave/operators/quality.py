@@ -139,10 +139,9 @@ def shortest_cycle(edges: DataFrame, start: int, max_length: int | None = None)
             moved = moved.join(seen, "at", "left_anti")
         front = scratch.keep(moved, "front")
         closed = front.where(F.col("at") == start).first()
-        if closed:
-            return list(closed["path"])
-        if front.isEmpty():
-            return None
+        if closed or front.isEmpty():
+            scratch.only()
+            return list(closed["path"]) if closed else None
         seen = scratch.keep(front.select("at") if seen is None else seen.union(front.select("at")), "seen")
     warnings.warn(f"no cycle of up to {max_length} edges; longer ones were not searched", stacklevel=2)
     return None
@@ -156,6 +155,7 @@ def _trimmed(edges: DataFrame, scratch: Scratch) -> DataFrame:
         less = pairs.join(pairs.select(F.col("j").alias("i")).distinct(), "i", "left_semi").join(pairs.select(F.col("i").alias("j")).distinct(), "j", "left_semi")
         less = scratch.keep(less.select("i", "j"), "edges")
         n = less.count()
+        scratch.drop(pairs)
         if n == count:
             return less
         pairs, count = less, n
@@ -214,14 +214,49 @@ def break_cycles(cycles: DataFrame, edges: DataFrame, strategy: str = "weakest_l
 
 
 def cycle_participants(edges: DataFrame) -> DataFrame:
-    """``(vertex_id)`` of the vertices on any cycle: those that trimming of sources and sinks, and then reachability of oneself, leave."""
+    """``(vertex_id)`` of the vertices on any cycle: those of strongly connected components of more than one vertex, and of loops.
+
+    Components are found by colouring: each vertex takes the largest one that
+    reaches it, and those that reach that one back inside its colour are its
+    component. Components go, edges between colours too, and the rest is trimmed
+    again; nothing is closed.
+    """
     scratch = Scratch(edges.sparkSession, "participants")
-    reach = scratch.keep(_trimmed(edges, scratch), "reach")
-    size = reach.count()
+    found, kept = edges.where("i = j").select(F.col("i").alias("vertex_id")), []
+    rest = _trimmed(edges.where("i <> j"), scratch)
+    while not rest.isEmpty():
+        ids = rest.select(F.col("i").alias("vertex_id")).distinct()
+        color = _spread(ids.withColumn("c", F.col("vertex_id")), rest, scratch)
+        # Edges between two colours lie on no cycle.
+        a = color.select(F.col("vertex_id").alias("i"), F.col("c").alias("a"))
+        inner = rest.join(a, "i").join(color.select(F.col("vertex_id").alias("j"), F.col("c").alias("b")), "j").where("a = b")
+        inner = scratch.keep(inner.select("i", "j"), "inner")
+        back = inner.select(F.col("j").alias("i"), F.col("i").alias("j"))
+        reach = _spread(color.where("vertex_id = c"), back, scratch).select("vertex_id")
+        # A component of one vertex was left in by trimming, since a cycle lies before and after it.
+        ends = inner.join(reach.withColumnRenamed("vertex_id", "i"), "i").select(F.col("j").alias("vertex_id")).distinct()
+        part = scratch.keep(reach.join(ends, "vertex_id", "left_semi"), "part")
+        kept.append(part)
+        found = found.union(part)
+        for side in ("i", "j"):
+            inner = inner.join(reach.withColumnRenamed("vertex_id", side), side, "left_anti")
+        rest = _trimmed(inner, scratch)
+        scratch.only(rest, *kept)
+    scratch.only(*kept)
+    return found.distinct()
+
+
+def _spread(start: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(vertex_id, c)``: the largest value that reaches each vertex along ``pairs (i, j)``; only values that grew move on."""
+    held = front = scratch.keep(start, "color")
     while True:
-        more = reach.select("i", F.col("j").alias("k")).join(reach.select(F.col("i").alias("k"), "j"), "k").select("i", "j")
-        more = scratch.keep(reach.union(more).distinct(), "reach")
-        n = more.count()
-        if n == size:
-            return more.where("i = j").select(F.col("i").alias("vertex_id"))
-        reach, size = more, n
+        moved = front.withColumnRenamed("vertex_id", "i").join(pairs, "i").groupBy(F.col("j").alias("vertex_id")).agg(F.max("c").alias("c"))
+        grown = moved.join(held.withColumnRenamed("c", "had"), "vertex_id", "left").where("had is null or c > had").select("vertex_id", "c")
+        grown = scratch.keep(grown, "grown")
+        if grown.isEmpty():
+            return held
+        now = scratch.keep(held.union(grown).groupBy("vertex_id").agg(F.max("c").alias("c")), "color")
+        if front is not held:
+            scratch.drop(front)
+        scratch.drop(held)
+        held, front = now, grown

@@ -54,9 +54,8 @@ def roots(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
         large = both.where("w > u").join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("w")).distinct()
         least = large.groupBy("u").agg(F.min("w").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("w") == F.col("m"), F.col("u")).otherwise(F.col("w")).alias("u"), F.col("m").alias("w"))
-        now = scratch.keep(small.where("u <> w").distinct())
-        scratch.drop(held)
-        held = now
+        held = scratch.keep(small.where("u <> w").distinct())
+        scratch.only(held)
         row = held.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)")).alias("s")).first()
         state = (row["n"], row["s"])
         if state == seen:

@@ -6,6 +6,7 @@ so a round survives the loss of any of them.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one is set where that is unset, as in local tests."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one is set where that is unset and the session is local, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinweave-"))
     return shared_dir(spark)
 
@@ -40,14 +43,18 @@ def _delete(spark: SparkSession, at: str) -> None:
 
 
 class Scratch:
-    """A folder of intermediate tables."""
+    """A folder of intermediate tables.
+
+    An operator drops the tables that its result does not read; those that it
+    does stay until :func:`sweep`.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         _roots.append(self.root)
         self._made = 0
-        self._at: dict[int, str] = {}
+        self._held: set[str] = set()
 
     def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
         """Write a table once and read it from there."""
@@ -55,12 +62,21 @@ class Scratch:
         at = f"{self.root}/{self._made:03d}-{name}"
         df.write.parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
-        self._at[id(out)] = at
+        out._kinweave_at = at
+        self._held.add(at)
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
+    def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables of this folder that nothing reads any more."""
         for df in tables:
-            at = self._at.pop(id(df), None)
-            if at:
+            at = vars(df).get("_kinweave_at") if df is not None else None
+            if at in self._held:
+                self._held.remove(at)
                 _delete(self.spark, at)
+
+    def only(self, *tables: DataFrame | None) -> None:
+        """Delete all tables of this folder but these."""
+        stay = {vars(df).get("_kinweave_at") for df in tables if df is not None}
+        for at in sorted(self._held - stay):
+            self._held.remove(at)
+            _delete(self.spark, at)

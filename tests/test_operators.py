@@ -312,3 +312,52 @@ def test_sibling_and_great_grandmother(spark):
     assert M.collected(two) == first | M.RC5_MOTHER
     with pytest.raises(ValueError, match="colour"):
         compose.add_vertex(one, none, none, 7, 0)
+
+
+# --- scratch tables -----------------------------------------------------------
+
+
+def folders(spark, label):
+    """Tables that the operators of this name have left behind."""
+    from kinweave.plans.scratch import shared_dir
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{label}-*/*")
+    return len(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
+
+@pytest.mark.parametrize(
+    ("label", "most", "run"),
+    [
+        ("semi-naive", 6, lambda e, p: C.semi_naive(e).paths.count()), ("squaring", 1, lambda e, p: C.squaring(e).paths.count()), ("levels", 6, lambda e, p: C.levels(e).count()),
+        ("weighted", 1, lambda e, p: C.weighted_paths(e.withColumn("w", F.lit(1))).count()), ("components", 1, lambda e, p: structure.roots(e).count()),
+        ("walk", 6, lambda e, p: C.path_vertices(e, p).count()), ("cycle", 0, lambda e, p: quality.shortest_cycle(e, 5)),
+    ],
+)
+def test_rounds_leave_only_what_is_read(spark, label, most, run):
+    chain = spark.createDataFrame([(k, k - 1, 2) for k in range(1, 6)], "i long, j long, v long")
+    pairs = spark.createDataFrame([(5, 0, 32), (3, 1, 4)], "i long, j long, v long")
+    before = folders(spark, label)
+    run(chain, pairs)
+    assert folders(spark, label) - before <= most
+
+
+def test_scratch_needs_a_shared_folder_off_local_mode():
+    from types import SimpleNamespace
+
+    from kinweave.plans.scratch import shared_dir
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)), master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="share"):
+        shared_dir(SimpleNamespace(sparkContext=context))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycle_participants_against_reachability(spark, seed):
+    rng = random.Random(seed)
+    edges = sorted({(rng.randrange(14), rng.randrange(14)) for _ in range(22)})
+    reach = {a: {b for x, b in edges if x == a} for a in range(14)}
+    for _ in range(14):
+        reach = {a: r | {c for b in r for c in reach[b]} for a, r in reach.items()}
+    got = {r[0] for r in quality.cycle_participants(spark.createDataFrame(edges, "i long, j long")).collect()}
+    assert got == {a for a, r in reach.items() if a in r}
