@@ -276,7 +276,9 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, parts: int = PART
     members = good.join(groups, ["k1", "k2", "id"]).join(sizes, "gid")
     members = dealt(members, "gid", "node", F.ceil(F.col("members") / BLOCK_ROWS)).select("gid", "bi", "bj", "own", "node", "copies", "embedding")
     links = in_groups(members, ["gid", "bi", "bj"], lambda t: _verified(t, cosine), "node long, links long, peer long")
-    return Linked(rows, nodes, scratch.keep(links, "links"), scratch)
+    links = scratch.keep(links, "links")
+    scratch.only(rows, nodes, links)
+    return Linked(rows, nodes, links, scratch)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, parts: int = PARTS, codes: int = CODES, filters: int = FILTERS, cap_rows: int = CAP_ROWS) -> DataFrame:

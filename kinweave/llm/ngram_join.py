@@ -247,7 +247,9 @@ def linked_texts(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     blocks = F.greatest(F.ceil(F.col("all_grams") / BLOCK_GRAMS), F.ceil(F.col("all_rows") / BLOCK_ROWS))
     members = dealt(members, "gid", "node", blocks).select("gid", "bi", "bj", "own", "node", "copies", "set")
     links = in_groups(members, ["gid", "bi", "bj"], lambda t: _verified(t, threshold), "node long, links long, peer long")
-    return Linked(keyed, nodes, scratch.keep(links, "links"), scratch)
+    links = scratch.keep(links, "links")
+    scratch.only(signed, keyed, nodes, links)
+    return Linked(keyed, nodes, links, scratch)
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
