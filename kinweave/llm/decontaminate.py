@@ -56,7 +56,8 @@ def _seeds(df: DataFrame, at: str) -> DataFrame:
     windows = df.withColumn(at, F.explode(every))
     # The number of the mask is part of what is hashed.
     hashes = [F.xxhash64(F.lit(k), *[F.get("h", F.col(at) + o) for o in mask]) for k, mask in enumerate(MASKS)]
-    return windows.withColumn("seed", F.explode(F.array(*hashes)))
+    # A projection of its own shares the tokens among the masks, which an argument of explode does not.
+    return windows.withColumn("_seeds", F.array(*hashes)).withColumn("seed", F.explode("_seeds")).drop("_seeds")
 
 
 def _hashes(text: str) -> Column:
