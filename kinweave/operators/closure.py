@@ -24,6 +24,7 @@ from ..plans.scratch import Scratch
 from .graph import CycleError, DensificationError, off_diagonal
 
 STRATEGIES = ("auto", "doubling", "semi-naive", "squaring", "levelwise", "components")
+METHODS = ("auto", "FW", "D", "BF", "J")
 
 
 @dataclass
@@ -183,9 +184,13 @@ def levels(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
         level += 1
         scratch.only(waiting, pairs, *peeled)
     stuck = waiting.agg(F.min("vertex_id").alias("v")).first()["v"]
-    scratch.only(*peeled)
     if stuck is not None:
+        from .quality import cycle_participants
+
+        stuck = cycle_participants(pairs).agg(F.min("vertex_id").alias("v")).first()["v"]
+        scratch.only()
         raise CycleError("Error: cycle detected!", stuck)
+    scratch.only(*peeled)
     return done if done is not None else ids.selectExpr("vertex_id", "0L as level")
 
 
@@ -296,6 +301,49 @@ def weighted_paths(edges: DataFrame, sources: DataFrame | None = None, weight: s
         scratch.only(pairs, held, fresh)
 
 
+def shortest_path(edges: DataFrame, method: str = "auto", sources: DataFrame | None = None, unweighted: bool = False, limit: int | None = None) -> DataFrame:
+    """``(i, j, d)``: shortest paths between all pairs, or from ``sources (i)``.
+
+    ``FW`` and ``D`` join values by the algebra (all pairs by doubling, sources
+    by lengthening), ``BF`` and ``J`` add them as plain numbers. ``auto`` takes
+    the algebra, ``FW`` without sources and ``D`` with them: a colour, which is
+    negative, is no weight. ``unweighted`` counts edges, whatever the method.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unrecognised method '{method}': one of {', '.join(METHODS)}")
+    proper = edges.where("i <> j")
+    if unweighted or method in ("BF", "J"):
+        weighed = proper.withColumn("w", F.lit(1) if unweighted else F.col("v"))
+        return weighted_paths(weighed, sources, limit=limit).select("i", "j", "d")
+    if method == "D" or sources is not None or limit is not None:
+        done = semi_naive(proper, sources, limit)
+    else:
+        done = transitive_closure(proper)
+    return done.paths.select("i", "j", F.col("v").alias("d"))
+
+
+def distances(edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """``(i, j, d)``: edge values added as plain numbers along the predecessors ``tree (i, j, pred)``.
+
+    Each row points at its predecessor's row; pointers double, so it takes as
+    many rounds as the logarithm of the longest chain. A chain that ends before
+    ``i`` gives no row, one that runs in a circle raises CycleError. Of parallel
+    edges the least counts.
+    """
+    scratch = Scratch(edges.sparkSession, "distances")
+    steps = edges.where("i <> j").groupBy(F.col("i").alias("pred"), "j").agg(F.min("v").cast("long").alias("d"))
+    walk = scratch.keep(tree.join(steps, ["pred", "j"]).select("i", "j", F.col("pred").alias("at"), "d"), "walk")
+    # No chain has more steps than there are rows.
+    for _ in range(walk.count().bit_length() + 2):
+        if walk.where("at <> i").isEmpty():
+            return walk.select("i", "j", "d")
+        on = walk.select("i", F.col("j").alias("at"), F.col("at").alias("next"), F.col("d").alias("more"))
+        moved = walk.where("at <> i").join(on, ["i", "at"]).select("i", "j", F.col("next").alias("at"), (F.col("d") + F.col("more")).alias("d"))
+        walk = scratch.keep(walk.where("at = i").unionByName(moved), "walk")
+        scratch.only(walk)
+    raise CycleError("Error: cycle detected!", walk.where("at <> i").agg(F.min("j").alias("j")).first()["j"])
+
+
 def predecessors(closure: DataFrame, edges: DataFrame) -> DataFrame:
     """``(i, j, v, pred)``: the vertex before ``j`` on the path that ``v`` names.
 

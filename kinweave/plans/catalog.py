@@ -46,6 +46,30 @@ _SUPPLY = f"""ed AS (SELECT l_partkey AS source, l_suppkey AS destination, ([{",
 ve AS (SELECT p_partkey AS id, 'part' AS given_name, p_partkey::VARCHAR AS surname, p_partkey % 5 AS iteration FROM part)"""
 
 
+# The algebra once more, written for the oracles by arithmetic and lists and apart from functions.algebra.
+
+
+def _sum(x: str, y: str) -> str:
+    return f"(CASE WHEN {x} = 0 OR {y} = 0 THEN {x} + {y} WHEN {x} < {y} THEN {x} ELSE {y} END)"
+
+
+def _top(x: str) -> str:
+    """The largest power of two up to ``x``."""
+    return f"(1::BIGINT << floor(log2(greatest({x}, 1)::DOUBLE))::INT)"
+
+
+def _times(x: str, y: str) -> str:
+    return f"""(CASE WHEN {x} = 0 OR {y} = 0 OR (abs({x}) = 1 AND {x} + {y} = 0) THEN 0 WHEN abs({x}) = 1 THEN {y}
+  WHEN abs({y}) = 1 THEN CASE WHEN ({x} & 1 = 1) = ({y} = 1) THEN {x} ELSE 0 END ELSE {x} * {_top(y)} + {y} - {_top(y)} END)"""
+
+
+def _kin_name(a: str, b: str) -> str:
+    n, g = f"least({a}, {b})", f"(greatest({a}, {b}) - least({a}, {b}))"
+    cousin = f"coalesce((['0th', '1st', '2nd', '3rd'])[{n}], ({n} - 1)::VARCHAR || 'th') || ' cousin'"
+    return f"""(CASE WHEN {n} > 0 AND {a} + {b} <= 3 THEN (['', 'sibling', 'aunt/uncle'])[{a} + {b}] WHEN {n} > 0 THEN {cousin} || CASE WHEN {g} > 0 THEN ' ' || {g}::VARCHAR || ' removed' ELSE '' END
+  WHEN {g} BETWEEN 1 AND 5 THEN (['parent', 'grandparent', 'great grandparent', '2nd great grandparent', '3rd great grandparent'])[{g}] ELSE ({g} - 2)::VARCHAR || 'th great grandparent' END)"""
+
+
 def _sql(*parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts[:-1]) + "\n" + parts[-1] if len(parts) > 1 else parts[0]
 
@@ -92,12 +116,12 @@ _LINES = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 # --- scalar algebra ---------------------------------------------------------
 
 
-@query("avos_sum", _V, f"SELECT {_LINES}, x, y, {A.sum_sql('x', 'y')} AS s FROM l")
+@query("avos_sum", _V, f"SELECT {_LINES}, x, y, {_sum('x', 'y')} AS s FROM l")
 def avos_sum(spark, d):
     return _values(spark, d).select(*_LINE, "x", "y", A.avos_sum("x", "y").alias("s"))
 
 
-@query("avos_product", _V, f"SELECT {_LINES}, x, y, {A.product_sql('x', 'y', 'duckdb')} AS p FROM l")
+@query("avos_product", _V, f"SELECT {_LINES}, x, y, {_times('x', 'y')} AS p FROM l")
 def avos_product(spark, d):
     return _values(spark, d).select(*_LINE, "x", "y", A.avos_product("x", "y").alias("p"))
 
@@ -116,7 +140,7 @@ def avos_lt(spark, d):
 @query(
     "avos_elementwise",
     f"""a AS (SELECT p_partkey AS k, p_partkey % 23 - 1 AS x, p_size::BIGINT % 19 - 1 AS y FROM part)
-SELECT k, CASE WHEN x = 0 THEN y WHEN y = 0 THEN x ELSE least(x, y) END AS s, {A.product_sql('x', 'y', 'duckdb')} AS p FROM a""".replace("a AS", "WITH a AS", 1),
+SELECT k, CASE WHEN x = 0 THEN y WHEN y = 0 THEN x ELSE least(x, y) END AS s, {_times('x', 'y')} AS p FROM a""".replace("a AS", "WITH a AS", 1),
 )
 def avos_elementwise(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
@@ -145,7 +169,7 @@ def decode_relationship(spark, d):
     return closed_matrix(spark, d).select("i", "j", F.expr(A.describe_sql("v")).alias("said"))
 
 
-@query("consanguinity_label", f"WITH l AS (SELECT DISTINCT l_partkey % 12 AS da, l_suppkey % 12 AS db FROM lineitem) SELECT da, db, {A.consanguinity_sql('da', 'db', 'duckdb')} AS said FROM l")
+@query("consanguinity_label", f"WITH l AS (SELECT DISTINCT l_partkey % 12 AS da, l_suppkey % 12 AS db FROM lineitem) SELECT da, db, {_kin_name('da', 'db')} AS said FROM l")
 def consanguinity_label(spark, d):
     pairs = _values(spark, d).selectExpr("l_partkey % 12 as da", "l_suppkey % 12 as db").distinct()
     return pairs.select("da", "db", F.expr(A.consanguinity_sql("da", "db")).alias("said"))
@@ -161,9 +185,9 @@ def identity_predicates(spark, d):
 @query(
     "algebra_laws",
     f"""WITH g AS (SELECT unnest(range(2, 34)) AS x), h AS (SELECT a.x, b.x AS y, c.x AS z FROM g a, g b, g c),
-p AS (SELECT x, y, z, {A.product_sql('x', 'y', 'duckdb')} AS xy, {A.product_sql('y', 'z', 'duckdb')} AS yz, least(y, z) AS s, {A.product_sql('x', 'z', 'duckdb')} AS xz FROM h)
-SELECT count(*)::BIGINT AS triples, count(*) FILTER (WHERE {A.product_sql('xy', 'z', 'duckdb')} = {A.product_sql('x', 'yz', 'duckdb')})::BIGINT AS associative,
-  count(*) FILTER (WHERE {A.product_sql('x', 's', 'duckdb')} = least(xy, xz))::BIGINT AS distributive, count(*) FILTER (WHERE xy > x AND xy > y)::BIGINT AS growing FROM p""",
+p AS (SELECT x, y, z, {_times('x', 'y')} AS xy, {_times('y', 'z')} AS yz, least(y, z) AS s, {_times('x', 'z')} AS xz FROM h)
+SELECT count(*)::BIGINT AS triples, count(*) FILTER (WHERE {_times('xy', 'z')} = {_times('x', 'yz')})::BIGINT AS associative,
+  count(*) FILTER (WHERE {_times('x', 's')} = least(xy, xz))::BIGINT AS distributive, count(*) FILTER (WHERE xy > x AND xy > y)::BIGINT AS growing FROM p""",
 )
 def algebra_laws(spark, d):
     g = spark.range(2, 34).withColumnRenamed("id", "x")
@@ -180,19 +204,19 @@ def algebra_laws(spark, d):
 
 # --- vectors and matrices ---------------------------------------------------
 
-_U = "u AS (SELECT p_partkey AS k, 2 + p_partkey % 2 AS v FROM part WHERE p_partkey % 7 = 3)"
+_U = "u AS (SELECT p_partkey AS k, 2 + p_partkey % 2 AS v FROM part)"
 _W = "w AS (SELECT p_partkey AS k, 2 + p_partkey // 3 % 6 AS v FROM part)"
 
 
 def _u(spark, d):
-    return spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 7 = 3").selectExpr("p_partkey as k", "2 + p_partkey % 2 as v")
+    return spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey as k", "2 + p_partkey % 2 as v")
 
 
 def _w(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey as k", "2 + p_partkey div 3 % 6 as v")
 
 
-_XY = A.product_sql("a.v", "b.v", "duckdb")
+_XY = _times("a.v", "b.v")
 
 
 @query("vec_avos", _U, _W, f"SELECT coalesce(min(nullif({_XY}, 0)), 0)::BIGINT AS v FROM u a JOIN w b USING (k)")
@@ -376,10 +400,12 @@ def closure_limited(spark, d):
     return C.semi_naive(_part(spark, d).edges, limit=7).paths
 
 
-@query("closure_multi_source_min", _PART, _close(), "SELECT j, min(v) AS v FROM c WHERE i % 10 = 7 GROUP BY j")
+@query("closure_multi_source_min", _PART, _close(), "SELECT j, min(v) AS v FROM c WHERE i NOT IN (SELECT j FROM e) GROUP BY j")
 def closure_multi_source_min(spark, d):
+    """From all vertices that are nobody's parent."""
     g = _part(spark, d)
-    return C.multi_source_min(g.edges, g.vertices.where("vertex_id % 10 = 7").select(F.col("vertex_id").alias("i")))
+    childless = g.vertices.select(F.col("vertex_id").alias("i")).join(g.edges.select(F.col("j").alias("i")), "i", "left_anti")
+    return C.multi_source_min(g.edges, childless)
 
 
 @query("closure_component_wise", _PART7, _REACH, _close(), "SELECT comp.component, c.i, c.j, c.v FROM c JOIN comp ON comp.vertex_id = c.i")
@@ -411,6 +437,20 @@ def path_predecessors(spark, d):
     return C.predecessors(closure_of(spark, d), _part(spark, d).edges)
 
 
+@query("dist_matrix", _PART, _close(), "SELECT i, j, (2 * (length(bin(v)) - 1) + bit_count(v) - 1)::BIGINT AS d FROM c")
+def dist_matrix(spark, d):
+    edges = _part(spark, d).edges
+    return C.distances(edges, C.predecessors(closure_of(spark, d), edges))
+
+
+@query("shortest_path_methods", _PART, _close(), "h AS (SELECT i, j, v AS d FROM e UNION SELECT h.i, e.j, h.d + e.v FROM h JOIN e ON h.j = e.i)",
+       "SELECT 'algebra' AS rule, i, j, v AS d FROM c UNION ALL SELECT 'plain', i, j, min(d) FROM h GROUP BY i, j")
+def shortest_path_methods(spark, d):
+    edges = _part(spark, d).edges
+    paths = lambda method: C.shortest_path(edges, method).select("i", "j", "d")
+    return paths("D").withColumn("rule", F.lit("algebra")).unionByName(paths("BF").withColumn("rule", F.lit("plain"))).select("rule", "i", "j", "d")
+
+
 @query("path_vertices", _PART, "t AS (SELECT i, j, v, [i, j] AS path FROM e UNION SELECT t.i, n.j, t.v * 2 + (n.v - 2), list_append(t.path, n.j) FROM t JOIN e n ON t.j = n.i)", "k AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY v) AS o FROM t)", "SELECT i, j, v, array_to_string(path, '>') AS path FROM k WHERE o = 1")
 def path_vertices(spark, d):
     walked = C.path_vertices(_part(spark, d).edges, closure_of(spark, d))
@@ -422,17 +462,28 @@ def diameter(spark, d):
     return closure_of(spark, d).agg(F.max(A.msb("v")).cast("long").alias("diameter"))
 
 
-@query("cycle_detect", "SELECT 'Error: cycle detected!' AS said, true AS on_cycle")
+_REFUSE = [name for name in C.STRATEGIES if name != "auto"]
+
+
+@query(
+    "cycle_detect",
+    _CYC,
+    "r AS (SELECT i AS a, j AS b FROM e WHERE i = 2 UNION SELECT r.a, e.j FROM r JOIN e ON e.i = r.b)",
+    f"SELECT s.name AS strategy, CASE WHEN bool_or(r.a = r.b) THEN 'Error: cycle detected!' ELSE '' END AS said, bool_or(r.a = r.b) AS on_cycle FROM r, (SELECT unnest({_REFUSE}) AS name) s GROUP BY s.name",
+)
 def cycle_detect(spark, d):
     """Every strategy refuses the cyclic graph; the vertex it names lies on a cycle."""
-    g = fixtures.cyclic_graph(spark, d)
-    try:
-        C.squaring(g.edges)
-        said, vertex = "", None
-    except CycleError as error:
-        said, vertex = str(error), error.vertex
-    path = quality.shortest_cycle(g.edges, vertex) if vertex is not None else None
-    return spark.createDataFrame([(said, path is not None)], "said string, on_cycle boolean")
+    edges = fixtures.cyclic_graph(spark, d).edges
+    said, vertices = [], {}
+    for name in _REFUSE:
+        try:
+            C.transitive_closure(edges, name)
+            said.append((name, "", False))
+        except CycleError as error:
+            if error.vertex not in vertices:
+                vertices[error.vertex] = quality.shortest_cycle(edges, error.vertex) is not None
+            said.append((name, str(error), vertices[error.vertex]))
+    return spark.createDataFrame(said, "strategy string, said string, on_cycle boolean")
 
 
 # --- incremental maintenance ------------------------------------------------
@@ -473,8 +524,8 @@ def _pairs(spark, d):
     "kinship_pairs",
     _PART, _close(), _PAIRS,
     "k AS (SELECT q.a, q.b, x.j, x.v AS x, y.v AS y, row_number() OVER (PARTITION BY q.a, q.b ORDER BY x.v + y.v, x.j) AS o FROM q JOIN cm x ON x.i = q.a JOIN cm y ON y.i = q.b AND y.j = x.j)",
-    f"z AS (SELECT q.a, q.b, k.j, {A.msb_sql('k.x')} AS da, {A.msb_sql('k.y')} AS db FROM q LEFT JOIN k ON k.a = q.a AND k.b = q.b AND k.o = 1)",
-    f"SELECT a, b, coalesce(j, -1) AS common_ancestor, CASE WHEN j IS NULL THEN 'No Relationship' ELSE {A.consanguinity_sql('da', 'db', 'duckdb')} END AS relationship FROM z",
+    f"z AS (SELECT q.a, q.b, k.j, floor(log2(greatest(k.x, 1)::DOUBLE))::BIGINT AS da, floor(log2(greatest(k.y, 1)::DOUBLE))::BIGINT AS db FROM q LEFT JOIN k ON k.a = q.a AND k.b = q.b AND k.o = 1)",
+    f"SELECT a, b, coalesce(j, -1) AS common_ancestor, CASE WHEN j IS NULL THEN 'No Relationship' ELSE {_kin_name('da', 'db')} END AS relationship FROM z",
 )
 def kinship_pairs(spark, d):
     return kinship.kinship(closed_matrix(spark, d), _pairs(spark, d))
@@ -560,7 +611,7 @@ def topological_ordering(spark, d):
 
 _CANON = f"""o AS (SELECT v.vertex_id AS old, row_number() OVER (ORDER BY s.size DESC, comp.component, coalesce(r1.g, 0) DESC, coalesce(c1.x, 0), v.color DESC, v.vertex_id) - 1 AS new
   FROM v JOIN comp ON comp.vertex_id = v.vertex_id JOIN (SELECT component, count(*) AS size FROM comp GROUP BY 1) s ON s.component = comp.component
-  LEFT JOIN (SELECT i, sum({A.msb_sql('v')}) AS g FROM cm GROUP BY i) r1 ON r1.i = v.vertex_id
+  LEFT JOIN (SELECT i, sum(floor(log2(greatest(v, 1)::DOUBLE))::BIGINT) AS g FROM cm GROUP BY i) r1 ON r1.i = v.vertex_id
   LEFT JOIN (SELECT j, greatest(max(v), 0) AS x FROM cm GROUP BY j) c1 ON c1.j = v.vertex_id)"""
 
 
@@ -596,7 +647,7 @@ def permute_upper(spark, d):
     return structure.permute(_matrix(spark, d), turned, upper=True)
 
 
-@query("is_upper_triangular", "SELECT false AS as_it_is, true AS turned, false AS strictly, true AS lower")
+@query("is_upper_triangular", _PART, _MATRIX, "SELECT min((i <= j)::INT) = 1 AS as_it_is, min((j <= i)::INT) = 1 AS turned, min((j < i)::INT) = 1 AS strictly, max((j > i)::INT) = 0 AS lower FROM m")
 def is_upper_triangular(spark, d):
     m = _matrix(spark, d)
     turned = linalg.transpose(m)

@@ -17,6 +17,7 @@ CHECKED = [
     "avos_sum", "avos_product", "generation_msb", "traversal_path", "decode_relationship", "vec_avos", "row_vector_product", "matmul", "product_pattern",
     "einsum_chain", "einsum_outer", "transitive_closure", "path_predecessors", "path_vertices", "vertex_composition", "edge_composition", "kinship_pairs",
     "topological_sort", "canonical_ordering", "validate_graph", "closure_row_stats", "mutual_exclusions", "enumerate_cycles", "edge_reliability", "to_dense",
+    "consanguinity_label", "algebra_laws", "cycle_detect", "is_upper_triangular", "dist_matrix", "shortest_path_methods", "closure_multi_source_min",
 ]
 
 

@@ -59,6 +59,52 @@ def test_cycles_are_refused_by_every_strategy(spark):
         C.transitive_closure(edges(spark, a), sparse_only=True)
 
 
+def test_levels_name_a_vertex_on_the_cycle(spark):
+    # 0 leads to the cycle 3, 4, 5, which leads to 1.
+    e = spark.createDataFrame([(0, 3, 2), (3, 4, 3), (4, 5, 2), (5, 3, 3), (5, 1, 2)], "i long, j long, v long")
+    with pytest.raises(CycleError) as caught:
+        C.levels(e)
+    assert caught.value.vertex in (3, 4, 5)
+
+
+def test_shortest_path_methods(spark):
+    a = M.random_graph(random.Random(3), 12)
+    e = edges(spark, a)
+    off = {k: v for k, v in M.cells(a).items() if k[0] != k[1]}
+    closed = {k: v for k, v in M.cells(M.close(a)).items() if k[0] != k[1]}
+    got = lambda *args, **more: {(r["i"], r["j"]): r["d"] for r in C.shortest_path(e, *args, **more).collect()}
+    assert got() == got("FW") == got("D") == closed
+
+    def plain(weights):
+        best = dict(weights)
+        for k in range(12):
+            for i in range(12):
+                for j in range(12):
+                    if i != j and (i, k) in best and (k, j) in best:
+                        best[i, j] = min(best.get((i, j), 10**9), best[i, k] + best[k, j])
+        return best
+
+    assert got("BF") == got("J") == plain(off)
+    assert got("FW", unweighted=True) == plain({k: 1 for k in off})
+    one = spark.createDataFrame([(11,)], "i long")
+    assert got("auto", one) == {k: v for k, v in closed.items() if k[0] == 11}
+    with pytest.raises(ValueError):
+        C.shortest_path(e, "A")
+
+
+def test_distances_along_predecessors(spark):
+    chain = spark.range(9).selectExpr("id as i", "id + 1 as j", "2 + id % 2 as v")
+    tree = C.predecessors(C.transitive_closure(chain).paths, chain)
+    got = {(r["i"], r["j"]): r["d"] for r in C.distances(chain, tree).collect()}
+    assert got == {(i, j): sum(2 + k % 2 for k in range(i, j)) for i in range(10) for j in range(i + 1, 10)}
+    # A chain that breaks off gives no row, an empty tree none, a circle an error.
+    broken = spark.createDataFrame([(0, 2, 1)], "i long, j long, pred long")
+    assert C.distances(chain, broken).count() == 0 == C.distances(chain, broken.limit(0)).count()
+    ring = spark.createDataFrame([(1, 2, 2), (2, 1, 2)], "i long, j long, v long")
+    with pytest.raises(CycleError):
+        C.distances(ring, spark.createDataFrame([(0, 1, 2), (0, 2, 1)], "i long, j long, pred long"))
+
+
 def test_deep_chains_raise_instead_of_wrapping(spark):
     chain = spark.range(70).selectExpr("id as i", "id + 1 as j", "2L as v")
     for run in (C.squaring, C.doubling):
