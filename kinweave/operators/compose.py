@@ -31,7 +31,7 @@ def add_vertex(closure: DataFrame, row: DataFrame, column: DataFrame, vertex: in
     down = times_column(closure, column) if complete else column
     bad = vertex_cycle(up, down).orderBy("k").first()
     if bad:
-        raise CycleError(f"Error: relational composition would introduce a cycle. Idx: {bad['k']}, u_i: {bad['u']}, v_i: {bad['v']}", bad["k"])
+        raise CycleError(f"Error: the new vertex would close a cycle. Idx: {bad['k']}, u_i: {bad['u']}, v_i: {bad['v']}", bad["k"])
     through = down.select(F.col("k").alias("i"), F.col("v").alias("x")).crossJoin(_small(up.select(F.col("k").alias("j"), F.col("v").alias("y"))))
     through = through.select("i", "j", avos_product("x", "y").alias("v"))
     here = F.lit(vertex).cast("long")

@@ -18,9 +18,9 @@ from .graph import Graph
 from .structure import numbered
 
 PASSES = 3
-FIRST_RED = ("James", "Robert", "John", "Michael", "David", "William", "Richard", "Joseph")
-FIRST_BLACK = ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica")
-LAST = ("Smith", "Johnson", "Brown", "Jones", "Garcia", "Miller", "Davis", "Wilson", "Moore", "Taylor")
+# Names are a head and a tail.
+HEADS = ("Al", "Be", "Co", "Da", "El", "Fi", "Ga", "Ho")
+TAILS = {"red": ("bor", "dan", "ken", "mir", "ric", "ton"), "black": ("bela", "dina", "lise", "mara", "ria", "tessa"), "last": ("berg", "combe", "ham", "ley", "stead", "wick")}
 
 
 @dataclass(frozen=True)
@@ -90,9 +90,13 @@ def _pick(names: tuple[str, ...], chance: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (F.floor(chance * len(names)) + 1).cast("int"))
 
 
+def _name(kind: str, seed: int, what: str) -> Column:
+    return F.concat(_pick(HEADS, _chance(seed, what, "vertex_id")), _pick(TAILS[kind], _chance(seed, what + " tail", "vertex_id")))
+
+
 def _named(people: DataFrame, seed: int, last: Column | None = None) -> DataFrame:
-    first = F.when(F.col("color") == -1, _pick(FIRST_RED, _chance(seed, "first", "vertex_id"))).otherwise(_pick(FIRST_BLACK, _chance(seed, "first", "vertex_id")))
-    own = _pick(LAST, _chance(seed, "last", "vertex_id"))
+    first = F.when(F.col("color") == -1, _name("red", seed, "first")).otherwise(_name("black", seed, "first"))
+    own = _name("last", seed, "last")
     return people.withColumn("first_name", first).withColumn("last_name", own if last is None else last)
 
 
