@@ -25,6 +25,8 @@ from .graph import CycleError, DensificationError, off_diagonal
 
 STRATEGIES = ("auto", "doubling", "semi-naive", "squaring", "levelwise", "components")
 METHODS = ("auto", "FW", "D", "BF", "J")
+#: Paths beyond which a round is made in parts, and edges in a block of sources: what is shuffled at a time is a part of the disk that the result takes.
+PART_ROWS, BLOCK_EDGES = 10_000_000, 1_000_000
 
 
 @dataclass
@@ -53,6 +55,17 @@ def _least(paths: DataFrame) -> DataFrame:
     return paths.groupBy("i", "j").agg(F.min("v").alias("v"), F.min("g").alias("g"))
 
 
+def _block(paths: DataFrame, number: int, blocks: int) -> DataFrame:
+    """The paths of one of ``blocks`` groups of sources."""
+    return paths.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == number) if blocks > 1 else paths
+
+
+def _unlike(paths: DataFrame, known: DataFrame) -> DataFrame:
+    """Paths of pairs that ``known`` has not."""
+    known = known.select(F.col("i").alias("hi"), F.col("j").alias("hj"))
+    return paths.join(known, (F.col("i") == F.col("hi")) & (F.col("j") == F.col("hj")), "left_anti")
+
+
 def _measure(paths: DataFrame) -> tuple[int, int, int | None, int]:
     """Rows, sum of values, a vertex on a cycle, generations: one pass over a written table."""
     row = paths.agg(
@@ -75,7 +88,7 @@ def _guarded(action: Callable[[], DataFrame]) -> DataFrame:
 
 def squaring(edges: DataFrame, max_rounds: int = 64, cut_cycles: bool = False) -> Closure:
     """Join the paths with themselves until nothing changes: as many rounds as the logarithm of the depth."""
-    scratch = Scratch(edges.sparkSession, "squaring")
+    scratch = Scratch(edges.sparkSession, "squaring", lean=True)
     held = scratch.keep(_least(_prepared(edges)))
     state = _measure(held)
     for _ in range(max_rounds):
@@ -96,7 +109,7 @@ def doubling(edges: DataFrame, max_rounds: int = 64) -> Closure:
     are known already are shorter and stay. New rows are appended, none is
     written twice. Edges longer than one step are left to :func:`squaring`.
     """
-    scratch = Scratch(edges.sparkSession, "doubling")
+    scratch = Scratch(edges.sparkSession, "doubling", lean=True)
     held = scratch.keep(_least(_prepared(edges)))
     state = _measure(held)
     if state[3] > 1:
@@ -125,7 +138,7 @@ def semi_naive(edges: DataFrame, start: DataFrame | None = None, limit: int | No
     ``start`` has the sources ``i`` to begin from (all by default), or with
     ``reverse`` the ends ``j``; ``limit`` bounds the values.
     """
-    scratch = Scratch(edges.sparkSession, "semi-naive")
+    scratch = Scratch(edges.sparkSession, "semi-naive", lean=True)
     steps = scratch.keep(_least(_prepared(edges)), "edges")
     bound = F.lit(True) if limit is None else F.col("v") <= limit
     side = "j" if reverse else "i"
@@ -156,6 +169,57 @@ def semi_naive(edges: DataFrame, start: DataFrame | None = None, limit: int | No
     return Closure(held.select("i", "j", "v"), longest if single else _measure(held)[3])
 
 
+def _without_steps(paths: DataFrame, steps: DataFrame) -> DataFrame:
+    """Paths of several generations that are no path and one more step."""
+    made = _joined(paths.where(F.col("g") < MAX_GENERATIONS), steps).select("i", "j", "v")
+    return paths.where("g > 1").join(made, ["i", "j", "v"], "left_anti")
+
+
+def absorbed(closure: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """The closure ``(i, j, v)`` with a batch of new ``edges (i, j, v)``; None if not all its edges are one step.
+
+    New paths are made length by length: a path that holds a new edge is such a
+    path and any edge, or an old path and a new edge. What comes out for the
+    first time is final, so it is appended and never written again; old paths
+    that a lesser one replaces are left out at the end. Blocks of sources follow
+    one another, so that no shuffle holds the whole closure.
+    """
+    scratch = Scratch(edges.sparkSession, "absorb", lean=True)
+    new = scratch.keep(_least(_prepared(edges)), "edges")
+    old = scratch.keep(_prepared(closure), "closure")
+    steps = scratch.keep(_least(new.unionByName(old.where("g = 1"))), "steps")
+    longest = old.agg(F.max("g").alias("g")).first()["g"] or 0
+    if _measure(new)[3] > 1 or (longest > 1 and not _guarded(lambda: _without_steps(old, steps.where("g = 1")).isEmpty())):
+        scratch.only()
+        return None
+    blocks = 1 + steps.count() // BLOCK_EDGES
+    parts, better_than_old = [], []
+    for block in range(blocks):
+        before, found, fresh, length = _block(old, block, blocks), [], _block(new, block, blocks), 1
+        while True:
+            known = before.select(F.col("i").alias("hi"), F.col("j").alias("hj"), F.col("v").alias("hv"))
+            less = _unlike(fresh, scratch.together(found)) if found else fresh
+            less = less.join(known, (F.col("i") == F.col("hi")) & (F.col("j") == F.col("hj")), "left").where("hv is null or v < hv")
+            less = _guarded(lambda x=less: scratch.keep(x.select("i", "j", "v", "g", F.col("hv").isNotNull().alias("instead")), "fresh"))
+            rows = _measure(less)[0]
+            if rows:
+                found.append(less)
+            else:
+                scratch.drop(less)
+            if not rows and length > longest:
+                break
+            by_new = _joined(before.where(F.col("g") == length), new)
+            fresh = _least(by_new.unionByName(_joined(less, steps)) if rows else by_new)
+            length += 1
+        parts += found
+    if not parts:
+        scratch.only(old)
+        return old.select("i", "j", "v")
+    scratch.only(old, *parts)
+    added = scratch.together(parts)
+    return _unlike(old, added.where("instead")).select("i", "j", "v").unionByName(added.select("i", "j", "v"))
+
+
 def levels(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``(vertex_id, level)``: the number of edges of the longest path from a vertex; sinks have 0.
 
@@ -330,7 +394,7 @@ def distances(edges: DataFrame, tree: DataFrame) -> DataFrame:
     ``i`` gives no row, one that runs in a circle raises CycleError. Of parallel
     edges the least counts.
     """
-    scratch = Scratch(edges.sparkSession, "distances")
+    scratch = Scratch(edges.sparkSession, "distances", lean=True)
     steps = edges.where("i <> j").groupBy(F.col("i").alias("pred"), "j").agg(F.min("v").cast("long").alias("d"))
     walk = scratch.keep(tree.join(steps, ["pred", "j"]).select("i", "j", F.col("pred").alias("at"), "d"), "walk")
     # No chain has more steps than there are rows.

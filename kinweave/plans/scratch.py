@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _roots: list[str] = []
+#: Shuffle files go as soon as the table is written, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def sweep(spark: SparkSession) -> None:
@@ -46,11 +48,13 @@ class Scratch:
     """A folder of intermediate tables.
 
     An operator drops the tables that its result does not read; those that it
-    does stay until :func:`sweep`.
+    does stay until :func:`sweep`. ``lean`` folders spare disk: their tables are
+    packed closer, and the shuffle files of a table go when it is written.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, lean: bool = False):
         self.spark = spark
+        self.lean = lean
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         _roots.append(self.root)
         self._made = 0
@@ -60,12 +64,30 @@ class Scratch:
         """Write a table once and read it from there."""
         self._made += 1
         at = f"{self.root}/{self._made:03d}-{name}"
-        df.write.parquet(at)
+        if self.lean:
+            self._write_lean(df, at)
+        else:
+            df.write.parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._kinweave_at = at
         self._held.add(at)
         return out
 
+    def _write_lean(self, df: DataFrame, at: str) -> None:
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(at)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
+
+    def together(self, tables: list[DataFrame]) -> DataFrame:
+        """Tables of one schema, all kept here, as one scan."""
+        return self.spark.read.schema(tables[0].schema).parquet(*(vars(df)["_kinweave_at"] for df in tables))
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables of this folder that nothing reads any more."""
         for df in tables:

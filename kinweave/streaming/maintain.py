@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.algebra import avos_product
-from ..operators.closure import semi_naive
+from ..operators.closure import absorbed, semi_naive
 from ..operators.linalg import add
 
 
 def absorb(closure: DataFrame, edges: DataFrame) -> DataFrame:
     """The closure ``(i, j, v)`` off the diagonal with a batch of new ``edges (i, j, v)``.
 
-    New paths alternate old paths and new edges: a new edge is widened by the
-    old paths at both ends, and the widened edges are closed among themselves.
+    Where all edges are one step, new paths are lengthened step by step. Else
+    they alternate old paths and new edges: a new edge is widened by the old
+    paths at both ends, and the widened edges are closed among themselves.
     """
+    stepped = absorbed(closure, edges)
+    if stepped is not None:
+        return stepped
     new = edges.where("v >= 2").select("i", "j", "v")
     left = closure.select("i", F.col("j").alias("k"), F.col("v").alias("x")).join(new.select(F.col("i").alias("k"), "j", F.col("v").alias("y")), "k")
     wide = add(new, left.select("i", "j", avos_product("x", "y").alias("v")))

@@ -128,6 +128,22 @@ def test_absorbing_edges_equals_closing_again(spark):
     assert M.collected(got) == M.collected(C.squaring(small).paths)
 
 
+def test_absorbing_by_steps_in_blocks_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_EDGES", 4)
+    schema = "i long, j long, v long"
+    edges = [(5, 4, 2), (4, 3, 3), (3, 2, 2), (2, 1, 2), (1, 0, 3), (5, 2, 3)]
+    whole = M.collected(C.squaring(spark.createDataFrame(edges, schema)).paths)
+    # The last batch replaces old paths by lesser ones, 5 to 2 among them.
+    for new in ([(4, 3, 3), (2, 1, 2)], [(5, 2, 3)]):
+        old = C.squaring(spark.createDataFrame([e for e in edges if e not in new], schema)).paths
+        got = C.absorbed(old, spark.createDataFrame(new, schema))
+        assert got.count() == len(whole) and M.collected(got) == whole
+    # An old edge of two steps is no path of steps: the general way takes it.
+    long = spark.createDataFrame([(7, 5, 6)], schema)
+    assert C.absorbed(long, spark.createDataFrame(new, schema)) is None
+    assert M.collected(absorb(long, spark.createDataFrame(new, schema))) == {(7, 5): 6, (5, 2): 3, (7, 2): 13}
+
+
 def test_streamed_closure(spark, tmp_path):
     schema = "i long, j long, v long"
     for k, part in enumerate(([(2, 1, 2), (1, 0, 3)], [(3, 2, 3), (4, 1, 2)])):
