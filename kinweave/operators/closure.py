@@ -41,14 +41,15 @@ def _prepared(edges: DataFrame) -> DataFrame:
     return edges.where("v >= 2").select("i", "j", F.col("v").cast("long").alias("v"), msb("v").cast("int").alias("g"))
 
 
-def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All joins of paths of both sides."""
-    a = left.select("i", F.col("j").alias("k"), F.col("v").alias("x"), F.col("g").alias("gx"))
-    b = right.select(F.col("i").alias("k"), "j", F.col("v").alias("y"), F.col("g").alias("gy"))
+def _joined(left: DataFrame, right: DataFrame, halves: bool = False) -> DataFrame:
+    """All joins of paths of both sides; with ``halves`` those whose right side has the generations ``h`` of the left."""
+    h = ["h"] if halves else []
+    a = left.select("i", F.col("j").alias("k"), F.col("v").alias("x"), F.col("g").alias("gx"), *h)
+    b = right.select(F.col("i").alias("k"), "j", F.col("v").alias("y"), F.col("g").alias("gy"), *[F.col("g").alias(c) for c in h])
     deep = f"gx + gy > {MAX_GENERATIONS}"
     value = "shiftleft(x, gy) + y - shiftleft(1L, gy)"
     safe = f"CASE WHEN {deep} THEN cast(raise_error('path does not fit 63 bits') AS bigint) ELSE {value} END"
-    return a.join(b, "k").select("i", "j", F.expr(safe).alias("v"), (F.col("gx") + F.col("gy")).alias("g"))
+    return a.join(b, ["k", *h]).select("i", "j", F.expr(safe).alias("v"), (F.col("gx") + F.col("gy")).alias("g"))
 
 
 def _least(paths: DataFrame) -> DataFrame:
@@ -86,11 +87,65 @@ def _guarded(action: Callable[[], DataFrame]) -> DataFrame:
         raise
 
 
+def _halved(held: DataFrame, reach: int, low: int, high: int) -> DataFrame:
+    """Joins of two paths to ``low`` to ``high`` steps, each cut in its middle."""
+    left = held.withColumn("h", F.explode(F.array(F.col("g"), F.col("g") - 1)))
+    left = left.where((F.col("h") > 0) & (F.col("g") + F.col("h")).between(low, high))
+    return _joined(left, held.where(F.col("g").between(low // 2, high // 2)), halves=True)
+
+
+def _beyond(held: DataFrame, reach: int, low: int, high: int) -> DataFrame:
+    """Joins of two paths to ``low`` to ``high`` steps, each cut after ``reach`` steps."""
+    return _joined(held.where(F.col("g") == reach), held.where(F.col("g").between(low - reach, high - reach)))
+
+
+def _by_steps(scratch: Scratch, held: DataFrame, joins: Callable[[DataFrame, int, int, int], DataFrame], max_rounds: int) -> Closure:
+    """Rounds over edges of one step: all pairs up to ``reach`` steps give those up to twice as many, by ``joins``.
+
+    Pairs that are known already are shorter and stay, so new rows are appended.
+    A round of many rows is made length by length and then, without what is
+    known, by blocks of sources, so that no shuffle holds all of its rows.
+    """
+    rows, _, _, longest = _measure(held)
+    reach, parts = 1, [held]
+    for _ in range(max_rounds):
+        if longest < reach:
+            break
+        low, high = reach + 1, 2 * reach
+        if rows <= PART_ROWS:
+            made, blocks = [], 1
+            longer = _least(joins(held, reach, low, high))
+        else:
+            made = [_guarded(lambda n=n, p=held: scratch.keep(_least(joins(p, reach, n, n)), "made")) for n in range(low, high + 1)]
+            longer = scratch.together(made)
+            blocks = 1 + (rows + longer.count()) // (4 * PART_ROWS)
+        found = []
+        for b in range(blocks):
+            fresh = _block(longer, b, blocks)
+            fresh = _unlike(_least(fresh) if made else fresh, _block(held, b, blocks))
+            found.append(_guarded(lambda f=fresh: scratch.keep(f, "fresh")))
+        scratch.drop(*made)
+        more, _, _, most = _measure(scratch.together(found))
+        if not more:
+            break
+        parts += found
+        held, rows, reach, longest = scratch.together(parts), rows + more, 2 * reach, max(longest, most)
+    scratch.only(*parts)
+    return Closure(scratch.merged(parts).select("i", "j", "v"), longest)
+
+
 def squaring(edges: DataFrame, max_rounds: int = 64, cut_cycles: bool = False) -> Closure:
-    """Join the paths with themselves until nothing changes: as many rounds as the logarithm of the depth."""
+    """Join the paths with themselves until nothing changes: as many rounds as the logarithm of the depth.
+
+    Where every edge is one step, a least path is two least paths of half its
+    length, so a round joins only paths of equal length or one step apart; the
+    other products of the square give no lesser value.
+    """
     scratch = Scratch(edges.sparkSession, "squaring", lean=True)
     held = scratch.keep(_least(_prepared(edges)))
     state = _measure(held)
+    if state[3] <= 1:
+        return _by_steps(scratch, held, _halved, max_rounds)
     for _ in range(max_rounds):
         now = _guarded(lambda p=held: scratch.keep(_least(p.unionByName(_joined(p, p)))))
         scratch.drop(held)
@@ -111,25 +166,10 @@ def doubling(edges: DataFrame, max_rounds: int = 64) -> Closure:
     """
     scratch = Scratch(edges.sparkSession, "doubling", lean=True)
     held = scratch.keep(_least(_prepared(edges)))
-    state = _measure(held)
-    if state[3] > 1:
+    if _measure(held)[3] > 1:
         scratch.drop(held)
         return squaring(edges)
-    reach, longest, parts = 1, state[3], [held]
-    for _ in range(max_rounds):
-        if longest < reach:
-            break
-        known = held.select(F.col("i").alias("hi"), F.col("j").alias("hj"))
-        longer = _least(_joined(held.where(F.col("g") == reach), held))
-        fresh = longer.join(known, (F.col("i") == F.col("hi")) & (F.col("j") == F.col("hj")), "left_anti")
-        fresh = _guarded(lambda f=fresh: scratch.keep(f, "fresh"))
-        rows, _, _, most = _measure(fresh)
-        if not rows:
-            break
-        held, reach, longest = held.unionByName(fresh), 2 * reach, max(longest, most)
-        parts.append(fresh)
-    scratch.only(*parts)
-    return Closure(held.select("i", "j", "v"), longest)
+    return _by_steps(scratch, held, _beyond, max_rounds)
 
 
 def semi_naive(edges: DataFrame, start: DataFrame | None = None, limit: int | None = None, reverse: bool = False) -> Closure:

@@ -88,6 +88,20 @@ class Scratch:
         """Tables of one schema, all kept here, as one scan."""
         return self.spark.read.schema(tables[0].schema).parquet(*(vars(df)["_kinweave_at"] for df in tables))
 
+    def merged(self, tables: list[DataFrame]) -> DataFrame:
+        """The same as one table: the files of the others move to the folder of the first."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        into = vars(tables[0])["_kinweave_at"]
+        fs = hadoop.Path(into).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for df in tables[1:]:
+            for status in fs.globStatus(hadoop.Path(f"{vars(df)['_kinweave_at']}/part-*")):
+                if not fs.rename(status.getPath(), hadoop.Path(into, status.getPath().getName())):
+                    raise OSError(f"{status.getPath()} was not moved to {into}")
+        self.drop(*tables[1:])
+        out = self.spark.read.schema(tables[0].schema).parquet(into)
+        out._kinweave_at = into
+        return out
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables of this folder that nothing reads any more."""
         for df in tables:

@@ -105,6 +105,18 @@ def test_distances_along_predecessors(spark):
         C.distances(ring, spark.createDataFrame([(0, 1, 2), (0, 2, 1)], "i long, j long, pred long"))
 
 
+@pytest.mark.parametrize("run", [C.squaring, C.doubling])
+def test_rounds_in_parts_by_length_and_source(spark, monkeypatch, run):
+    rng = random.Random(5)
+    steps = {(k, rng.randrange(max(0, k - 3), k), v) for k in range(1, 14) for v in (2, 3)}
+    graph = spark.createDataFrame(sorted(steps), "i long, j long, v long")
+    whole = run(graph)
+    monkeypatch.setattr(C, "PART_ROWS", 12)
+    parts = run(graph)
+    assert M.collected(parts.paths) == M.collected(whole.paths) == M.collected(C.semi_naive(graph).paths)
+    assert parts.paths.count() == whole.paths.count() and parts.diameter == whole.diameter
+
+
 def test_deep_chains_raise_instead_of_wrapping(spark):
     chain = spark.range(70).selectExpr("id as i", "id + 1 as j", "2L as v")
     for run in (C.squaring, C.doubling):
