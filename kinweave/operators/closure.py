@@ -13,7 +13,7 @@ more than 62 generations raise OverflowError instead of wrapping.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -434,7 +434,11 @@ def distances(edges: DataFrame, tree: DataFrame) -> DataFrame:
     ``i`` gives no row, one that runs in a circle raises CycleError. Of parallel
     edges the least counts.
     """
-    scratch = Scratch(edges.sparkSession, "distances", lean=True)
+    return _walked(Scratch(edges.sparkSession, "distances", lean=True), edges, tree)
+
+
+def _walked(scratch: Scratch, edges: DataFrame, tree: DataFrame, others: Sequence[DataFrame] = ()) -> DataFrame:
+    """:func:`distances` in a folder where the tables ``others`` stay."""
     steps = edges.where("i <> j").groupBy(F.col("i").alias("pred"), "j").agg(F.min("v").cast("long").alias("d"))
     walk = scratch.keep(tree.join(steps, ["pred", "j"]).select("i", "j", F.col("pred").alias("at"), "d"), "walk")
     # No chain has more steps than there are rows.
@@ -444,23 +448,42 @@ def distances(edges: DataFrame, tree: DataFrame) -> DataFrame:
         on = walk.select("i", F.col("j").alias("at"), F.col("at").alias("next"), F.col("d").alias("more"))
         moved = walk.where("at <> i").join(on, ["i", "at"]).select("i", "j", F.col("next").alias("at"), (F.col("d") + F.col("more")).alias("d"))
         walk = scratch.keep(walk.where("at = i").unionByName(moved), "walk")
-        scratch.only(walk)
+        scratch.only(walk, *others)
     raise CycleError("Error: cycle detected!", walk.where("at <> i").agg(F.min("j").alias("j")).first()["j"])
 
 
 def predecessors(closure: DataFrame, edges: DataFrame) -> DataFrame:
     """``(i, j, v, pred)``: the vertex before ``j`` on the path that ``v`` names.
 
-    The path without its last step leads to it, so no walk is needed: among the
-    children of ``j`` it is the one that ``i`` reaches (or is) with the parent
-    value of ``v``; the smallest on ties.
+    The path without its last step leads to it, so no walk is needed: each path
+    and one step more is looked up among the paths, the smallest predecessor on
+    ties. A vertex has few parents but many children, so steps are added here
+    and not taken off.
     """
-    steps = edges.where("v in (2, 3)").select(F.col("i").alias("pred"), "j", F.col("v").alias("step"))
-    last = closure.where("v >= 2").join(steps, "j").where("(v % 2) = (step % 2)")
-    direct = last.where("v in (2, 3) and pred = i").select("i", "j", "v", "pred")
-    back = closure.select("i", F.col("j").alias("pred"), F.col("v").alias("pv"))
-    longer = last.where("v > 3").join(back, ["i", "pred"]).where("pv = shiftright(v, 1)").select("i", "j", "v", "pred")
-    return direct.unionByName(longer).groupBy("i", "j", "v").agg(F.min("pred").alias("pred"))
+    steps = edges.where("v in (2, 3)").select(F.col("i").alias("pred"), "j", F.col("v").cast("long").alias("step"))
+    paths = closure.where("v >= 2")
+    # A value without room for a step more turns negative and is not found.
+    longer = paths.select("i", F.col("j").alias("pred"), F.col("v").alias("pv")).join(steps, "pred")
+    longer = longer.select("i", "j", F.expr("shiftleft(pv, 1) + (step - 2)").alias("v"), "pred")
+    direct = steps.select(F.col("pred").alias("i"), "j", F.col("step").alias("v"), "pred")
+    return direct.unionByName(longer).join(paths.select("i", "j", "v"), ["i", "j", "v"]).groupBy("i", "j", "v").agg(F.min("pred").alias("pred"))
+
+
+def distance_matrix(closure: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(i, j, d)``: :func:`distances` along the :func:`predecessors` of all paths of a closure.
+
+    A path's chain stays with its source, so blocks of sources follow one
+    another, and no shuffle holds the whole closure.
+    """
+    scratch = Scratch(edges.sparkSession, "matrix", lean=True)
+    blocks = 1 + closure.count() // PART_ROWS
+    parts = []
+    for b in range(blocks):
+        mine = _block(closure, b, blocks)
+        walked = _walked(scratch, edges, predecessors(mine, edges), parts)
+        parts.append(scratch.keep(walked, "block"))
+        scratch.only(*parts)
+    return scratch.merged(parts)
 
 
 def path_vertices(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -439,8 +439,7 @@ def path_predecessors(spark, d):
 
 @query("dist_matrix", _PART, _close(), "SELECT i, j, (2 * (length(bin(v)) - 1) + bit_count(v) - 1)::BIGINT AS d FROM c")
 def dist_matrix(spark, d):
-    edges = _part(spark, d).edges
-    return C.distances(edges, C.predecessors(closure_of(spark, d), edges))
+    return C.distance_matrix(closure_of(spark, d), _part(spark, d).edges)
 
 
 @query("shortest_path_methods", _PART, _close(), "h AS (SELECT i, j, v AS d FROM e UNION SELECT h.i, e.j, h.d + e.v FROM h JOIN e ON h.j = e.i)",

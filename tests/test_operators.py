@@ -105,6 +105,15 @@ def test_distances_along_predecessors(spark):
         C.distances(ring, spark.createDataFrame([(0, 1, 2), (0, 2, 1)], "i long, j long, pred long"))
 
 
+def test_distance_matrix_in_blocks_of_sources(spark, monkeypatch):
+    chain = spark.range(6).selectExpr("id as i", "id + 1 as j", "2 + id % 2 as v")
+    paths = C.doubling(chain).paths
+    monkeypatch.setattr(C, "PART_ROWS", 9)
+    got = C.distance_matrix(paths, chain)
+    want = {(i, j): sum(2 + k % 2 for k in range(i, j)) for i in range(7) for j in range(i + 1, 7)}
+    assert got.count() == len(want) and {(r["i"], r["j"]): r["d"] for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("run", [C.squaring, C.doubling])
 def test_rounds_in_parts_by_length_and_source(spark, monkeypatch, run):
     rng = random.Random(5)
