@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.algebra import MAX_GENERATIONS, msb
+from ..functions.algebra import MAX_GENERATIONS, msb, msb_sql
 from ..plans.scratch import Scratch
 from .graph import CycleError, DensificationError, off_diagonal
 
@@ -470,11 +470,15 @@ def predecessors(closure: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def distance_matrix(closure: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(i, j, d)``: :func:`distances` along the :func:`predecessors` of all paths of a closure.
+    """``(i, j, d)``: :func:`distances` along the :func:`predecessors` of all paths of the closure of ``edges``.
 
-    A path's chain stays with its source, so blocks of sources follow one
-    another, and no shuffle holds the whole closure.
+    Where every edge is one step, the value of a path spells its edges, 2 or 3
+    each, so their sum is read from it and nothing is joined. Other edges are
+    walked: a path's chain stays with its source, so blocks of sources follow
+    one another, and no shuffle holds the whole closure.
     """
+    if edges.where("i <> j and coalesce(v not in (2, 3), true)").isEmpty():
+        return closure.where("v >= 2").select("i", "j", F.expr(f"cast(2 * {msb_sql('v')} + bit_count(v) - 1 as bigint)").alias("d"))
     scratch = Scratch(edges.sparkSession, "matrix", lean=True)
     blocks = 1 + closure.count() // PART_ROWS
     parts = []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import algebra as A
 from ..operators import closure as C
-from ..operators import compose, kinship, linalg, quality, structure, synth
+from ..operators import compose, kinship, linalg, quality, structure, synth, walk
 from ..operators.einsum import einsum
 from ..operators.graph import CycleError, cells_to_wide, violations, wide_to_cells
 from ..sources import files, fixtures
@@ -439,7 +439,9 @@ def path_predecessors(spark, d):
 
 @query("dist_matrix", _PART, _close(), "SELECT i, j, (2 * (length(bin(v)) - 1) + bit_count(v) - 1)::BIGINT AS d FROM c")
 def dist_matrix(spark, d):
-    return C.distance_matrix(closure_of(spark, d), _part(spark, d).edges)
+    edges = _part(spark, d).edges
+    paths = walk.paths(edges)
+    return C.distance_matrix(closure_of(spark, d) if paths is None else paths, edges)
 
 
 @query("shortest_path_methods", _PART, _close(), "h AS (SELECT i, j, v AS d FROM e UNION SELECT h.i, e.j, h.d + e.v FROM h JOIN e ON h.j = e.i)",

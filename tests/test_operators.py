@@ -1,12 +1,15 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave.operators import closure as C
-from kinweave.operators import compose, kinship, linalg, quality, structure
+from kinweave.operators import compose, kinship, linalg, quality, structure, walk
 from kinweave.operators.einsum import einsum, parse
 from kinweave.operators.graph import CycleError, DensificationError, Graph, cells_to_wide, from_dense, violations, wide_to_cells
+from kinweave.plans.scratch import Scratch
 
 from . import model as M
 
@@ -114,6 +117,62 @@ def test_distance_matrix_in_blocks_of_sources(spark, monkeypatch):
     assert got.count() == len(want) and {(r["i"], r["j"]): r["d"] for r in got.collect()} == want
 
 
+def _random_steps(seed, n, back=3):
+    """Edges of one step to earlier vertices, parallel ones and some twice, under keys that are far apart."""
+    rng = random.Random(seed)
+    steps = [(k * 10**15 - 7, rng.randrange(max(0, k - back), k) * 10**15 - 7, v) for k in range(1, n) for v in (2, 3) if rng.random() < 0.9]
+    return steps + steps[::5]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_walked_paths_and_distances(spark, monkeypatch, seed):
+    graph = spark.createDataFrame(_random_steps(seed, 30), "i long, j long, v long")
+    want = C.semi_naive(graph).paths
+    summed = {tuple(r) for r in C.distances(graph, C.predecessors(want, graph)).collect()}
+    # Neither a round nor a block is written.
+    monkeypatch.setattr(Scratch, "keep", lambda *a: pytest.fail("a table was written"))
+    paths = walk.paths(graph)
+    assert paths.count() == want.count() and M.collected(paths) == M.collected(want)
+    got = C.distance_matrix(paths, graph)
+    assert got.dtypes == [("i", "bigint"), ("j", "bigint"), ("d", "bigint")]
+    assert got.count() == len(summed) and {tuple(r) for r in got.collect()} == summed
+
+
+def test_walked_blocks_are_halved(monkeypatch):
+    steps = _random_steps(3, 40, back=9)
+    graph = walk._packed(pa.table(dict(zip("ijv", map(list, zip(*steps))))))
+    rows = lambda: sorted(tuple(r.values()) for b in walk._walked(graph, np.arange(len(graph[0]))) for r in b.to_pylist())
+    want = rows()
+    assert len({r[:2] for r in want}) == len(want) > 300
+    for name, most in (("MAX_PAIRS", 40), ("BLOCK", 7), ("BATCH", 5)):
+        monkeypatch.setattr(walk, name, most)
+        assert rows() == want
+
+
+def test_walked_paths_at_the_limits(spark, monkeypatch):
+    chain = lambda n: spark.range(n).selectExpr("id as i", "id + 1 as j", "2 + id % 2 as v")
+    full = C.distance_matrix(walk.paths(chain(62)), chain(62))
+    assert {(r["i"], r["j"]): r["d"] for r in full.collect()} == {(i, j): sum(2 + k % 2 for k in range(i, j)) for i in range(63) for j in range(i + 1, 63)}
+    more = lambda *rows: chain(5).unionByName(spark.createDataFrame(list(rows), "i long, j long, v long"))
+    assert walk.paths(chain(5).limit(0)).count() == 0
+    assert M.collected(walk.paths(more((2, 2, -1), (3, 0, 0)))) == M.collected(walk.paths(chain(5)))
+    # Other graphs are left to the rounds.
+    assert [walk.paths(g) for g in (chain(63), more((5, 1, 2)), more((4, 4, 3)), more((9, 8, 4)), more((9, None, 2)))] == [None] * 5
+    monkeypatch.setattr(walk, "MAX_EDGES", 4)
+    assert walk.paths(chain(5)) is None and walk.paths(chain(4)).count() == 10
+
+
+def test_distance_matrix_of_longer_edges_in_blocks_of_sources(spark, monkeypatch):
+    chain = spark.range(6).selectExpr("id as i", "id + 1 as j", "2 + id % 2 as v")
+    graph = chain.unionByName(spark.createDataFrame([(20, 21, 5)], "i long, j long, v long"))
+    paths = C.squaring(graph).paths
+    monkeypatch.setattr(C, "PART_ROWS", 9)
+    # An edge of several steps is no predecessor's.
+    want = {(i, j): sum(2 + k % 2 for k in range(i, j)) for i in range(7) for j in range(i + 1, 7)}
+    got = C.distance_matrix(paths, graph)
+    assert got.count() == len(want) and {(r["i"], r["j"]): r["d"] for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("run", [C.squaring, C.doubling])
 def test_rounds_in_parts_by_length_and_source(spark, monkeypatch, run):
     rng = random.Random(5)
